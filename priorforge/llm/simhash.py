@@ -167,13 +167,14 @@ def _walk(v: np.ndarray, home: np.ndarray, left: np.ndarray, sketches: np.ndarra
     together within ``total``. Small pairs are compared at once.
     """
     groups = [np.flatnonzero(home), *[np.flatnonzero(~home & (left == k)) for k in range(budget + 1)]]
-    rows = [g[np.argsort(v[g], kind="stable")] for g in groups]
-    sides = [v[g] for g in rows]
+    below = v & np.uint64((1 << (64 - depth)) - 1)  # visitors come from other prefixes
+    rows = [g[np.argsort(below[g], kind="stable")] for g in groups]
+    sides, whole = [below[g] for g in rows], [v[g] for g in rows]
     forest, links = Forest(len(v)), []
     segment = np.uint64(((1 << first) - 1) << (64 - first)) if first else np.uint64(0)
 
     def compare(a0, a1, k, b0, b1):
-        x, y = sides[0][a0:a1], sides[k][b0:b1]
+        x, y = whole[0][a0:a1], whole[k][b0:b1]
         step = max(1, (1 << 20) // max(1, len(y)))
         for s in range(0, len(x), step):
             diff = x[s : s + step, None] ^ y[None, :]
@@ -184,7 +185,7 @@ def _walk(v: np.ndarray, home: np.ndarray, left: np.ndarray, sketches: np.ndarra
             if not len(i):
                 continue
             i, j = rows[0][a0 + s + i], rows[k][b0 + j]
-            if k == 0:
+            if k == 0 and a0 == b0:
                 up = i < j
                 i, j = i[up], j[up]
             apart = forest.roots(i) != forest.roots(j)
