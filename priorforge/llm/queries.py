@@ -4,13 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, sharding, simhash, url_filter
+from . import line_dedup, quality, sentencepiece_codec, sharding, simhash, token_store, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(doc_id, folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    space = quality.fit(docs, labels, lambda c: _fold(c, 5) != 0)
+    return quality.score_quality(docs, space, threshold=0.3).select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sentencepiece_codec.encode_documents(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return got.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, lambda c: _fold(c, 3) != 1)
+    return toxicity.score_toxicity(docs, model, threshold=0.7).select("doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.new_path(spark)
+    token_store.write_tokens(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), path)
+    return token_store.read_tokens(spark, path)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.page_edges(pages)).drop("alias_of")
@@ -81,5 +120,14 @@ SELECT d.doc_id, c.text, coalesce(c.n_lines, 0)::INTEGER AS n_lines, coalesce(c.
 FROM documents d LEFT JOIN keyed k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.text = d.text LEFT JOIN cut c ON c.k = k.k
 """
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op5_simhash": op5_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_toxicity": op4_toxicity,
+    "op5_simhash": op5_simhash,
+    "op6_token_store": op6_token_store,
+    "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
+}
 ORACLES = {"op2_url_filter": OP2_SQL, "op10_line_dedup": OP10_SQL}

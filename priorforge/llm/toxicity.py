@@ -33,7 +33,7 @@ def _row_slots(col: pa.Array, bits: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(p)) if len(p) > 1 else p[0] if p else np.zeros(0, np.int64) for p in parts]
 
 
-def fit_ftrl(slots: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.2, l2: float = 1.0, seed: int = 5):
+def fit_ftrl(slots: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = 10, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, seed: int = 5):
     """(slots, weights, bias) that aren't zero. Features are present or absent; each coordinate has its own rate
     alpha / (beta + sqrt(sum of its squared gradients)) and is zero until the gradients outweigh ``l1``."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
