@@ -38,6 +38,8 @@ _BYTES = np.arange(256)
 _LETTER = ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 65) & (_BYTES <= 90)) | (_BYTES >= 128)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+_ALNUM = _LETTER | _DIGIT
+_PLACED = _LOWER.astype(np.uint64) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,9 +59,9 @@ def _range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, down: np
 class Words:
     """Words of a group of texts: ``row`` (index of the text in its batch), ``core`` (hash of its letters and digits,
     A-Z lower-cased; 0 if it has none), ``shape`` (hash of its case, its length class and the other marks that end it)
-    and ``follows`` (whether the word before belongs to the same text)."""
+    and ``follows`` (whether the word before belongs to the same text). Without ``shapes`` only row, core and follows."""
 
-    def __init__(self, body: np.ndarray, rows: np.ndarray, bounds: np.ndarray):
+    def __init__(self, body: np.ndarray, rows: np.ndarray, bounds: np.ndarray, shapes: bool = True):
         lens = bounds[:, 1] - bounds[:, 0]
         n = int((lens + 1).sum())
         text = np.full(n, 32, np.uint8)
@@ -74,12 +76,11 @@ class Words:
         self.row = rows[np.searchsorted(at, start, "right") - 1]
         self.follows = np.zeros(len(start), bool)
         self.follows[1:] = self.row[1:] == self.row[:-1]
-        alnum = _LETTER[text] | _DIGIT[text]
+        alnum = _ALNUM[text]
         up, down = _tables(n)
-        lower = _LOWER[text].astype(np.uint64) + np.uint64(1)
         prefix = np.zeros(n + 1, np.uint64)
         # the core: from the first to the last letter or digit of the word
-        np.cumsum(lower * up[:n], out=prefix[1:])
+        np.cumsum(_PLACED[text] * up[:n], out=prefix[1:])
         seen = np.flatnonzero(alnum)
         if len(seen) and len(start):
             i, j = np.searchsorted(seen, start), np.searchsorted(seen, end)
@@ -89,6 +90,8 @@ class Words:
         else:
             has, first, last = np.zeros(len(start), bool), start, start
         self.core = np.where(has, _range_hash(prefix, first, last, down), np.uint64(0))
+        if not shapes:
+            return
         tail = mix((prefix[end] - prefix[last]) * down[last])
         head = mix((prefix[first] - prefix[start]) * down[start])
         caps = np.zeros(n + 1, np.int32)
@@ -104,11 +107,11 @@ class Words:
         self.marks = mix((tail ^ (head >> np.uint64(1))) * np.uint64(37) + style)
 
 
-def groups(col: pa.Array) -> Iterator[Words]:
+def groups(col: pa.Array, shapes: bool = True) -> Iterator[Words]:
     """The words of a string column, about a megabyte at a time. A text may go on in the next group; null is empty."""
     body, offs = column_bytes(col)
     for rows, bounds in pieces(offs, body):
-        yield Words(body, rows, bounds)
+        yield Words(body, rows, bounds, shapes)
 
 
 def pairs(w: Words, values: np.ndarray, gap: int, salt: int) -> tuple[np.ndarray, np.ndarray]:

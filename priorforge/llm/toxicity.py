@@ -22,7 +22,7 @@ def gram_slots(w, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 def _row_slots(col: pa.Array, bits: int) -> list[np.ndarray]:
     """Distinct slots of each text."""
     parts: list[list[np.ndarray]] = [[] for _ in range(len(col))]
-    for w in groups(col):
+    for w in groups(col, shapes=False):
         row, slot = gram_slots(w, bits)
         key = np.unique(row.astype(np.int64) << bits | slot)
         r = key >> bits
@@ -106,7 +106,7 @@ def score_toxicity(docs: DataFrame, model, threshold: float = 0.7, bits: int = B
         for b in batches:
             total = np.full(b.num_rows, bias)
             held = [np.zeros(0, np.int64)]
-            for w in groups(b.column(1)):
+            for w in groups(b.column(1), shapes=False):
                 row, slot = gram_slots(w, bits)
                 on = dense[slot] != 0
                 held.append(np.unique(row[on].astype(np.int64) << bits | slot[on]))
