@@ -3,7 +3,7 @@
 Documents become sequences of the benchmark's words (all other words are one symbol) and are cut into overlapping
 passages. Over the whole corpus, the passages' document frequencies give TF-IDF weights, and a distributed randomised
 SVD of the passage matrix gives a latent space, to which the benchmark's own vectors are added. Passages whose cosine
-with an item is high enough there are candidates; the longest common subsequence of a candidate and the item decides,
+with an item is high enough there are candidates (what of a passage lies outside the space counts in its length); the longest common subsequence of a candidate and the item decides,
 and, where that is a paraphrase's, whether the item's last sentence (its answer) is there too.
 """
 
@@ -21,7 +21,7 @@ from .scratch import table
 #: A passage is two neighbouring blocks of so many words; each block is in two passages.
 BLOCK = 48
 #: Terms in more of the blocks than this share are left out of the space; they still count as words of the items.
-MAX_SHARE = 0.1
+MAX_SHARE = 0.005
 #: Leading directions of the corpus, and those drawn on top of them.
 RANK, OVERSAMPLING = 32, 16
 #: Items handled in one pass over the documents; more take more passes.
@@ -256,7 +256,6 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray
                 ids, first, lens, at, start, term, w = _passages(raw[s:e], idf)
                 todo = []
                 for r, z in _project(basis, start, term, w):
-                    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                     p, k = np.nonzero(z @ latent.T >= cosine)
                     todo.append(np.stack([p + r, k], 1))
                 pairs = [(int(at[p, 0]), int(at[p, 1]), int(k)) for p, k in np.concatenate(todo).tolist()] if todo else []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality, sentencepiece_codec, sharding, simhash, token_store, toxicity, url_filter
+from . import decontamination, embedding_dedup, line_dedup, quality, sentencepiece_codec, sharding, simhash, token_store, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.col("found.item_id").alias("item_ids"), F.coalesce(F.array_max("found.share"), F.lit(0.0)).alias("share"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=40)
 
@@ -127,6 +136,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_token_store": op6_token_store,
+    "op7_decontamination": op7_decontamination,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
