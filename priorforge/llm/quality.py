@@ -64,15 +64,43 @@ def document_frequencies(docs: DataFrame, bits: int = BITS, text_col: str = "tex
     return df, n
 
 
-def randomised_svd(x: np.ndarray, rank: int, seed: int = 3, rounds: int = 4) -> np.ndarray:
+class Sparse:
+    """Rows of (column, value) arrays; products go by dense blocks of a few rows, so that memory stays small."""
+
+    BLOCK = 128
+
+    def __init__(self, cols: list[np.ndarray], values: list[np.ndarray], width: int):
+        self.cols, self.values, self.shape = cols, values, (len(cols), width)
+
+    def blocks(self):
+        for s in range(0, len(self.cols), self.BLOCK):
+            part = np.zeros((min(self.BLOCK, len(self.cols) - s), self.shape[1]), np.float32)
+            for k in range(len(part)):
+                part[k, self.cols[s + k]] = self.values[s + k]
+            yield s, part
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], m.shape[1]), np.float32)
+        for s, part in self.blocks():
+            out[s : s + len(part)] = part @ m
+        return out
+
+    def transposed_times(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], m.shape[1]), np.float32)
+        for s, part in self.blocks():
+            out += part.T @ m[s : s + len(part)]
+        return out
+
+
+def randomised_svd(x: Sparse, rank: int, seed: int = 3, rounds: int = 4) -> np.ndarray:
     """Right singular vectors (columns) of a matrix, by a random range finder with power iterations."""
     rank = min(rank, *x.shape)
-    y = x @ np.random.default_rng(seed).standard_normal((x.shape[1], min(rank + 10, *x.shape))).astype(x.dtype)
+    y = x.times(np.random.default_rng(seed).standard_normal((x.shape[1], min(rank + 10, *x.shape))).astype(np.float32))
     for _ in range(rounds):
         q, _ = np.linalg.qr(y)
-        y = x @ (x.T @ q)
+        y = x.times(x.transposed_times(q))
     q, _ = np.linalg.qr(y)
-    return np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T
+    return np.linalg.svd(x.transposed_times(q).T, full_matrices=False)[2][:rank].T
 
 
 def _weights(slot, count, idf):
@@ -105,15 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", per
     sample = labelled_sample(docs, labels, label, per_class, allowed, **cols).select("id", "y", "text")
     rows = sample.mapInArrow(run, "id long, y int, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (r.id is None, r.id))
-    x = np.zeros((len(rows), max(1, int(keep.sum()))), np.float32)
-    for k, r in enumerate(rows):
-        slot = np.frombuffer(r.slots, np.int32)
-        x[k, used[slot]] = _weights(slot, np.frombuffer(r.counts, np.int32), idf)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    basis = randomised_svd(x, rank) if len(rows) else np.zeros((x.shape[1], 1), np.float32)
-    v = x @ basis
+    cols = [used[np.frombuffer(r.slots, np.int32)] for r in rows]
+    values = [_weights(np.frombuffer(r.slots, np.int32), np.frombuffer(r.counts, np.int32), idf) for r in rows]
+    voters = np.array([r.y for r in rows], np.float32)
+    del rows
+    values = [v / max(float(np.linalg.norm(v)), 1e-12) for v in values]
+    x = Sparse(cols, values, max(1, int(keep.sum())))
+    basis = randomised_svd(x, rank) if len(cols) else np.zeros((x.shape[1], 1), np.float32)
+    v = x.times(basis)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    return Space(idf, np.where(keep, used, -1), basis.astype(np.float32), v.astype(np.float32), np.array([r.y for r in rows], np.float32))
+    return Space(idf, np.where(keep, used, -1), basis.astype(np.float32), v.astype(np.float32), voters)
 
 
 def score_quality(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, threshold: float = 0.3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
