@@ -1,7 +1,8 @@
 """Token ids on disk, compressed by Re-Pair grammars: frequent pairs of ids become nonterminals, again and again.
 
 The format is a Parquet table of blocks, so any store that Spark writes will do and the writer's commit protocol guards
-against lost executors. A block holds consecutive documents: their ids (doc_id), the tokens and the symbols of each,
+against lost executors. A block holds consecutive documents: the tokens before them in their part, their
+ids (doc_id), the tokens and the symbols of each,
 the rules (pairs, a little-endian uint32 each) with the length that each expands to, and the symbols (uint32, or uint16
 where they fit). Symbols below ``vocab`` are token ids, ``vocab`` + r is rule r. Rules never cross a document's end, so
 a document is decoded from its own symbols and the rules alone; the lengths give the place of any token.
@@ -18,17 +19,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import scratch_root
-from .sentencepiece_codec import text_groups
+from .sentencepiece_codec import look_up, text_groups
 
 #: Byte-level pre-tokens never cross these parts' edges: a word with the blank before it, or a run of other white space.
 PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to re, but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
-KEPT = 400_000
+KEPT = 1_000_000
 BLOCK_TOKENS = 1 << 21
 #: Rules fit 16 bits beside a vocabulary of 50,257 ids: ROUNDS * PAIRS is at most 65,536 less that.
 ROUNDS, PAIRS, LEAST, SLOT_BITS = 4, 3800, 8, 20
-BLOCK_DDL = "part int, block int, doc_ids array<long>, n_tokens array<long>, n_symbols array<long>, vocab long, rules binary, rule_tokens binary, symbols binary, width int"
+BLOCK_DDL = "part int, block int, before long, doc_ids array<long>, n_tokens array<long>, n_symbols array<long>, vocab long, rules binary, rule_tokens binary, symbols binary, width int"
 
 
 class Encoder:
@@ -50,7 +51,8 @@ class Encoder:
             known.clear()
         words = [p for p in parts if not p[-1:].isspace() and "\n" not in p]
         if words:
-            ids = np.array(self.lib.encode("\n".join(words) + "\n", add_special_tokens=False).ids, np.uint32)
+            some = ["\n".join(words[k : k + 500]) + "\n" for k in range(0, len(words), 500)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.line_end).tolist()
             if len(ends) != len(words):
                 raise RuntimeError("line ends merge with words in this vocabulary")
@@ -59,15 +61,17 @@ class Encoder:
                 known[p] = raw[at : 4 * e]
                 at = 4 * e + 4
         if rest := [p for p in parts if p not in known]:
-            for p, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False)):
+            for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
                 known[p] = np.array(e.ids, np.uint32).tobytes()
 
     def group(self, texts: list[str]) -> list[bytes]:
-        split = [([t] if ODD.search(t) else PARTS.findall(t)) if t else [] for t in texts]
-        known = self.known
-        while new := set().union(*split).difference(known):  # twice if the first made room
-            self.learn(list(new))
-        return [b"".join([known[p] for p in s]) for s in split]
+        flat, ends = [], [0]
+        for t in texts:
+            if t:
+                flat += [t] if ODD.search(t) else PARTS.findall(t)
+            ends.append(len(flat))
+        got = look_up(self.known, flat, self.learn)
+        return [b"".join(got[s:e]) for s, e in zip(ends, ends[1:])]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, vocab: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
@@ -156,7 +160,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, vocab: int) -> np.ndarray:
     return every[place]
 
 
-def _block(part: int, number: int, doc_ids: list, runs: list[bytes], vocab: int) -> dict:
+def _block(part: int, number: int, before: int, doc_ids: list, runs: list[bytes], vocab: int) -> dict:
     ids = np.frombuffer(b"".join(runs), np.uint32)
     n = np.array([len(r) // 4 for r in runs], np.int64)
     last = np.zeros(len(ids), bool)
@@ -167,6 +171,7 @@ def _block(part: int, number: int, doc_ids: list, runs: list[bytes], vocab: int)
     return {
         "part": part,
         "block": number,
+        "before": before,
         "doc_ids": doc_ids,
         "n_tokens": n.tolist(),
         "n_symbols": np.diff(ends, prepend=0).tolist(),
@@ -188,17 +193,17 @@ def write_tokens(docs: DataFrame, model_path: str, path: str, end_id: int = 0, b
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], np.uint32).tobytes()
     schema = pa.schema(
-        [("part", pa.int32()), ("block", pa.int32())]
+        [("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64())]
         + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_tokens", "n_symbols")]
         + [("vocab", pa.int64()), ("rules", pa.binary()), ("rule_tokens", pa.binary()), ("symbols", pa.binary()), ("width", pa.int32())]
     )
 
     def run(batches):
         enc, part, number = _encoder(model.value), TaskContext.get().partitionId(), 0
-        doc_ids, runs, held = [], [], 0
+        doc_ids, runs, held, before = [], [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_pylist([_block(part, number, doc_ids, runs, enc.vocab)], schema=schema)
+            return pa.RecordBatch.from_pylist([_block(part, number, before, doc_ids, runs, enc.vocab)], schema=schema)
 
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -210,7 +215,7 @@ def write_tokens(docs: DataFrame, model_path: str, path: str, end_id: int = 0, b
                     held += len(x) // 4 + 1
                     if held >= block_tokens:
                         yield out()
-                        doc_ids, runs, held, number = [], [], 0, number + 1
+                        doc_ids, runs, held, number, before = [], [], 0, number + 1, before + held
         if runs:
             yield out()
 
@@ -241,21 +246,16 @@ def decode_block(row: dict, only: int | None = None) -> list[np.ndarray]:
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens, ids_crc32[, ids], decoded from the files.
 
-    The blocks' token counts are summed per part first (one number a part for the driver); inside a part a running sum
-    over its blocks goes on from there.
+    A block knows the tokens before it in its part; the parts' counts (one number for each of the writer's partitions)
+    are summed on the driver.
     """
     files = spark.read.schema(BLOCK_DDL).parquet(path)
-    counts = files.select("part", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    parts = sorted(map(tuple, counts.groupBy("part").agg(F.sum("n")).collect()))
-    offsets, total = [], 0
+    count = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = sorted(map(tuple, files.groupBy("part").agg(F.sum(count)).collect()))
+    offsets, total = {}, 0
     for p, n in parts:
-        offsets.append((p, total))
+        offsets[p] = total
         total += n
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("before", before).join(F.broadcast(spark.createDataFrame(offsets, "part int, at long")), "part")
-    placed = placed.select("part", "block", (F.col("before") + F.col("at")).alias("start"))
     ids_type = pa.list_(pa.int32())
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", ids_type)] * with_ids)
 
@@ -264,13 +264,13 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
             for row in b.to_pylist():
                 ids = decode_block(row)
                 n = np.asarray(row["n_tokens"], np.int64)
-                cols = [row["doc_ids"], row["start"] + np.cumsum(n) - n, n, [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]]
+                cols = [row["doc_ids"], offsets[row["part"]] + row["before"] + np.cumsum(n) - n, n, [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(cols, schema)] + ([pa.array([x.astype(np.int32) for x in ids], ids_type)] if with_ids else []), schema=schema
                 )
 
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.join(placed, ["part", "block"]).select(*files.columns, "start").mapInArrow(run, ddl)
+    return files.mapInArrow(run, ddl)
 
 
 def new_path(spark) -> str:
