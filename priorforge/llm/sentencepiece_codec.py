@@ -22,7 +22,7 @@ from .arrow_text import GROUP_BYTES
 
 BLANK = "▁"
 #: Parts that a worker keeps; beyond, it starts anew.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Up to so many characters the agenda is a plain list.
 SHORT = 48
 
@@ -49,7 +49,9 @@ class Codec:
         self.prefix = BLANK if sp.decode_pieces([BLANK + "a"]) == "a" and sp.encode("a", out_type=str)[0].startswith(BLANK) else ""
         #: ids whose surface is not their piece
         self.low_bytes = {*self.bytes_of, *self.control, self.unk}
-        self.known: dict[str, tuple[bytes, int, str]] = {}
+        #: ids (int32) of parts; texts of those parts that don't decode to themselves
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
 
     def _cutter(self) -> re.Pattern | None:
         """Pattern of the parts that no merge leaves; None if pieces have blanks after other characters.
@@ -151,13 +153,16 @@ class Codec:
         """Segment new parts and hold them against the library."""
         if len(self.known) + len(parts) > KEPT:
             self.known.clear()
+            self.odd.clear()
         got = [self.agenda(p) for p in parts]
         if self.check and self.cut:
             self._compare(parts, got)
-        low = self.low_bytes
+        pieces, low = self.pieces, self.low_bytes
         for p, a in zip(parts, got):
-            text = p if low.isdisjoint(a) else self.surface(a)
-            self.known[p] = (array("i", a).tobytes(), len(a), text.replace(BLANK, " "))
+            self.known[p] = array("i", a).tobytes()
+            text = "".join([pieces[i] for i in a]) if low.isdisjoint(a) else self.surface(a)
+            if text != p:
+                self.odd[p] = text
 
     def _compare(self, parts: list[str], got: list[list[int]]) -> None:
         """The library's ids of all new parts, set in one text with line ends between them, which are parts of their own."""
@@ -174,20 +179,34 @@ class Codec:
 
     def group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(ids, ids per text, decoded texts) of some texts."""
-        known, find = self.known, self.cut and self.cut.findall
-        split = [(find(t) if self.cut else [t]) if t else [] for t in ((self.prefix + t).replace(" ", BLANK) if t else "" for t in texts)]
-        while new := set().union(*split).difference(known):  # twice if the first made room
-            self.learn(list(new))
-        runs, counts, decoded = [], np.zeros(len(texts), np.int64), []
-        for k, s in enumerate(split):
-            got = [known[p] for p in s]
-            runs.extend([g[0] for g in got])
-            counts[k] = sum([g[1] for g in got])
-            text = "".join([g[2] for g in got])
-            decoded.append(text[1:] if self.prefix and text else text)
+        find = self.cut.findall if self.cut else lambda t: [t]
+        flat, ends = [], [0]
+        for t in texts:
+            if t:
+                flat += find((self.prefix + t).replace(" ", BLANK))
+            ends.append(len(flat))
+        got = look_up(self.known, flat, self.learn)
+        runs = [b"".join(got[s:e]) for s, e in zip(ends, ends[1:])]
+        counts = np.array([len(r) // 4 for r in runs], np.int64)
+        odd, drop = self.odd, len(self.prefix)
+        decoded = []
+        for a, b in zip(ends, ends[1:]):
+            text = "".join([odd.get(p, p) for p in flat[a:b]] if odd else flat[a:b])
+            decoded.append((text[drop:] if text.startswith(self.prefix) else text).replace(BLANK, " "))
         return np.frombuffer(b"".join(runs), np.int32), counts, decoded
 
 
+def look_up(known: dict, keys: list, learn) -> list:
+    """Values of keys; ``learn`` puts the missing ones into ``known`` (and may drop others)."""
+    got = list(map(known.get, keys))
+    if None in got:
+        missing = [i for i, g in enumerate(got) if g is None]
+        learn(list({keys[i] for i in missing}))
+        for i in missing:
+            got[i] = known[keys[i]]
+    return got
+
+
 _codecs: dict[int, Codec] = {}
 
 
