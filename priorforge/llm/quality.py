@@ -145,6 +145,35 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", per
     return Space(idf, np.where(keep, used, -1), basis.astype(np.float32), v.astype(np.float32), voters)
 
 
+def _votes(col: pa.Array, sp: Space, neighbours: int, bits: int) -> np.ndarray:
+    """Scores of a batch's texts."""
+    n = len(col)
+    prior = float(sp.labels.mean()) if len(sp.labels) else 0.5
+    k = min(neighbours, len(sp.labels))
+    row, slot, count = _counted(col, bits)
+    on = sp.used[slot] >= 0
+    row, slot, count = row[on], slot[on], count[on]
+    weight = _weights(slot, count, sp.idf)
+    vec = np.zeros((n, sp.basis.shape[1]), np.float32)
+    cuts = np.searchsorted(row, np.arange(0, n + 1, 64))
+    for s, e in zip(cuts, [*cuts[1:], len(row)]):  # blocks of documents, so that gathered rows of the basis stay few
+        if e > s:
+            part = sp.basis[sp.used[slot[s:e]]] * weight[s:e, None]
+            first = np.flatnonzero(np.concatenate([[True], row[s + 1 : e] != row[s : e - 1]]))
+            vec[row[s:e][first]] = np.add.reduceat(part, first, axis=0)
+    norm = np.linalg.norm(vec, axis=1)
+    vec /= np.maximum(norm, 1e-12)[:, None]
+    score = np.full(n, prior)
+    for s in range(0, n if k else 0, 1024):
+        sim = vec[s : s + 1024] @ sp.vectors.T
+        near = np.argpartition(sim, -k, axis=1)[:, -k:]
+        votes = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64)
+        total = votes.sum(1)
+        ok = (total > 0) & (norm[s : s + 1024] > 0)
+        score[s : s + 1024][ok] = ((votes * sp.labels[near]).sum(1)[ok] / total[ok]).clip(0, 1)
+    return score
+
+
 def score_quality(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, threshold: float = 0.3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted: the similarity-weighted vote of the nearest labelled documents, for every whole text.
 
@@ -156,32 +185,20 @@ def score_quality(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, t
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        sp = sent.value
-        prior = float(sp.labels.mean()) if len(sp.labels) else 0.5
-        k = min(neighbours, len(sp.labels))
         for b in batches:
-            row, slot, count = _counted(b.column(1), bits)
-            on = sp.used[slot] >= 0
-            row, slot, count = row[on], slot[on], count[on]
-            weight = _weights(slot, count, sp.idf)
-            vec = np.zeros((b.num_rows, sp.basis.shape[1]), np.float32)
-            cuts = np.searchsorted(row, np.arange(0, b.num_rows + 1, 64))
-            for s, e in zip(cuts, [*cuts[1:], len(row)]):  # blocks of documents, so that gathered rows of the basis stay few
-                if e > s:
-                    part = sp.basis[sp.used[slot[s:e]]] * weight[s:e, None]
-                    first = np.flatnonzero(np.concatenate([[True], row[s + 1 : e] != row[s : e - 1]]))
-                    vec[row[s:e][first]] = np.add.reduceat(part, first, axis=0)
-            norm = np.linalg.norm(vec, axis=1)
-            vec /= np.maximum(norm, 1e-12)[:, None]
-            score = np.full(b.num_rows, prior)
-            for s in range(0, b.num_rows if k else 0, 1024):
-                sim = vec[s : s + 1024] @ sp.vectors.T
-                near = np.argpartition(sim, -k, axis=1)[:, -k:]
-                votes = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64)
-                total = votes.sum(1)
-                ok = (total > 0) & (norm[s : s + 1024] > 0)
-                score[s : s + 1024][ok] = ((votes * sp.labels[near]).sum(1)[ok] / total[ok]).clip(0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_votes(b.column(1), sent.value, neighbours, bits))], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, threshold: float = 0.3, bits: int = BITS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold``; without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(space)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_votes(b.column(at), sent.value, neighbours, bits) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

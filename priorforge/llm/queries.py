@@ -11,12 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(doc_id, folds: int):
+def fold(doc_id, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,12 +24,12 @@ def _tokenizer(name: str) -> str:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    space = quality.fit(docs, labels, lambda c: _fold(c, 5) != 0)
-    return quality.score_quality(docs, space, threshold=0.3).select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    space = quality.fit(docs, labels, lambda c: fold(c, 5) != 0)
+    return quality.score_quality(docs, space, threshold=0.3).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sentencepiece_codec.encode_documents(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    got = sentencepiece_codec.encode_documents(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return got.select(
         "doc_id",
         "n_tokens",
@@ -40,13 +40,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels, lambda c: _fold(c, 3) != 1)
-    return toxicity.score_toxicity(docs, model, threshold=0.7).select("doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    model = toxicity.train(docs, labels, lambda c: fold(c, 3) != 1)
+    return toxicity.score_toxicity(docs, model, threshold=0.7).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.new_path(spark)
-    token_store.write_tokens(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), path)
+    token_store.write_tokens(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path)
     return token_store.read_tokens(spark, path)
 
 
