@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from .scratch import scratch_root
 from .sentencepiece_codec import look_up, text_groups
 
-#: Byte-level pre-tokens never cross these parts' edges: a word with the blank before it, or a run of other white space.
-PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Byte-level pre-tokens never cross these parts' edges: plain letters and digits (with the blank before) up to a mark or
+#: white space, any other word or rest of one, a run of other white space.
+PARTS = re.compile(r" ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~\s]|$)| ?\S+|\s+(?!\S)|\s+")
 #: White space to re, but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
 KEPT = 1_000_000
@@ -49,7 +50,7 @@ class Encoder:
         known = self.known
         if len(known) + len(parts) > KEPT:
             known.clear()
-        words = [p for p in parts if not p[-1:].isspace() and "\n" not in p]
+        words = [p for p in parts if len(w := p.split()) == 1 and p.removeprefix(" ") == w[0]]
         if words:
             some = ["\n".join(words[k : k + 500]) + "\n" for k in range(0, len(words), 500)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)])
@@ -88,8 +89,8 @@ def compress(ids: np.ndarray, last: np.ndarray, vocab: int, rounds: int = ROUNDS
             break
         slot = (sym[:-1] * np.uint32(0x9E3779B1) ^ sym[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
         counts = np.bincount(slot[~last[:-1]], minlength=1 << SLOT_BITS)
-        k = min(pairs, len(counts) - 1)
-        floor = max(least, int(np.partition(counts, -k)[-k]))
+        often = counts[counts >= least]
+        floor = int(np.partition(often, -pairs)[-pairs]) if len(often) > pairs else least
         at = np.flatnonzero((counts >= floor)[slot] & ~last[:-1])
         if not len(at):
             break
