@@ -1 +1 @@
-
+"""NumPy kernels that run inside tasks."""

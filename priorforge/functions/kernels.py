@@ -52,9 +52,10 @@ class Lasso:
             top = np.max(grad / np.maximum(factor, 1e-12)) / max(self.mix, 1e-3)
             lambdas = top * np.logspace(0, np.log10(self.ratio), self.n_lambda)
         curve = 0.25 if self.task == BINARY else 1.0
-        step = 1 / (curve * (np.linalg.norm(x * np.sqrt(w)[:, None], 2) ** 2 + 1) + 1e-12)
+        smooth = curve * (np.linalg.norm(x * np.sqrt(w)[:, None], 2) ** 2 + 1) + 1e-12
         b, c, out, cuts = np.zeros(p), b0, [], []
         for lam in lambdas:
+            step = 1 / (smooth + lam * (1 - self.mix) * factor.max(initial=0))
             v, vc, t = b.copy(), c, 1.0
             for _ in range(self.max_iter):
                 r = w * (self._mean(x @ v + vc) - y)

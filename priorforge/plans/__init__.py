@@ -1 +1 @@
-
+"""Experiments and the registered queries."""
