@@ -12,6 +12,7 @@ from ..functions import meta
 from ..functions.kernels import BINARY, LEARNERS, fit_out_of_fold, scaler
 from ..operators.prior import EXP, POWER, SQRT, PriorConfig
 from ..operators.results import pending
+from ..operators.selection import by_model
 
 RESULT_DDL = "name string, display_name string, is_baseline boolean, ratio_idx int, train_ratio double, split_idx int, accuracy double, misclass double, auroc double, mcc double, mse double"
 
@@ -96,8 +97,25 @@ def run_cell(method: Method, task: str, x, y, test_x, scores, folds, seed: int)
     return b + sum(v * m.predict(test_x) for v, m in zip(w, models) if v)
 
 
-def run(data: DataFrame, splits: DataFrame, scores: DataFrame, study: Study, done: DataFrame | None = None) -> DataFrame:
-    """Results of all cells that ``done`` lacks.
+def preselect(data: DataFrame, splits: DataFrame, k: int, method: str = "boosted", task: str = BINARY, seed: int = 42) -> DataFrame:
+    """F8: (ratio_idx, split_idx, rank, feature): the features that a selector takes on each cell's training rows."""
+    rows = splits.filter("part = 'train'").join(data, "row_id")
+
+    def pick(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        got = by_model(np.stack(pdf.features.to_list()).astype(float), pdf.label.to_numpy(float), k, method, task, seed)
+        return pd.DataFrame({"ratio_idx": key[0], "split_idx": key[1], "rank": range(1, len(got) + 1), "feature": got})
+
+    return rows.groupBy("ratio_idx", "split_idx").applyInPandas(pick, "ratio_idx int, split_idx int, rank int, feature int")
+
+
+def ridge(name: str = "ridge_selected") -> Method:
+    """the L2 model, for use on preselected features."""
+    return Method(name, (Member("lasso", None, (("mix", 0.0), ("n_lambda", 20))),), is_baseline=True)
+
+
+def run(data: DataFrame, splits: DataFrame, scores: DataFrame, study: Study, done: DataFrame | None = None, preselected: DataFrame | None = None) -> DataFrame:
+    """Results of all cells that ``done`` lacks; with ``preselected`` (as of :func:`preselect`) on those features alone.
 
     data: (row_id, label, features ARRAY<DOUBLE>); splits: (ratio_idx, train_ratio, split_idx, row_id, part); scores:
     (j, score). Each cell's rows are gathered by a join with its split and fitted in one task: a cell is a study's
@@ -112,6 +130,9 @@ def run(data: DataFrame, splits: DataFrame, scores: DataFrame, study: Study, don
         cells = pending(cells, done)
     rows = splits.join(data, "row_id").join(F.broadcast(cells.select("ratio_idx", "split_idx", "name")), ["ratio_idx", "split_idx"])
     task, cv, seed = study.task, study.cv, study.seed
+    chosen: dict[tuple, list[int]] = {}
+    for r in preselected.orderBy("rank").collect() if preselected is not None else []:  # names of a few cells
+        chosen.setdefault((r.ratio_idx, r.split_idx), []).append(r.feature)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         name, ratio_idx, split_idx = key
@@ -126,7 +147,8 @@ def run(data: DataFrame, splits: DataFrame, scores: DataFrame, study: Study, don
             at = np.flatnonzero(y == c) if c is not None else np.arange(len(y))
             folds[rng.permutation(at)] = np.arange(len(at)) % cv
         m = by_name[name]
-        z = run_cell(m, task, x, y, tx, prior, folds, cell_seed)
+        some = chosen.get((int(ratio_idx), int(split_idx))) or list(range(x.shape[1]))
+        z = run_cell(m, task, x[:, some], y, tx[:, some], prior[some], folds, cell_seed)
         out = dict(name=name, display_name=name, is_baseline=m.is_baseline, ratio_idx=ratio_idx, train_ratio=train.train_ratio.iloc[0], split_idx=split_idx, accuracy=None, misclass=None, auroc=None, mcc=None, mse=None)
         if task == BINARY:
             acc = meta.score("accuracy", ty, z)

@@ -665,6 +665,19 @@ def baseline_methods(spark, d):
     return _study(spark, d, [experiment.baselines()[0], experiment.prior_lasso((1.0,)), experiment.no_prior_stack(("lasso", "kernel"))])
 
 
+@query("preselected_features")
+def preselected_features(spark, d):
+    data = read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("features"))
+    return experiment.preselect(data, splits.shuffle_split(rows(spark, d), PLAN, 2), 8, "path")
+
+
+@query("ridge_selected")
+def ridge_selected(spark, d):
+    data = read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("features"))
+    sp = splits.shuffle_split(rows(spark, d), PLAN[1:], 1)
+    return experiment.run(data, sp, scores(spark, "j"), experiment.Study(cv=3, methods=[experiment.ridge()]), preselected=experiment.preselect(data, sp, 8, "path"))
+
+
 #: The flagship: split, prior, a prior-weighted linear score, and the test metrics of every split.
 FLAGSHIP = STRATIFIED + f""", l AS ({LONG}), pen AS (SELECT j, (score + 1e-4) / (avg(score + 1e-4) OVER () + 1e-4) AS s FROM ({SCORES})),
 pr AS (SELECT row_id, any_value(label < 5)::INTEGER AS y, sum(x * s) AS z FROM l JOIN pen USING (j) GROUP BY row_id),

@@ -112,3 +112,14 @@ def test_a_perfect_prior_helps_and_work_resumes(spark):
     assert got.count() == 8 and auc["lasso_t1"] > auc["lasso_t0"] - 0.005
     left = experiment.run(df, plan, scores, study, done=got.filter("split_idx < 3"))
     assert left.count() == 2 and {r.split_idx for r in left.collect()} == {3}
+
+
+def test_preselected_features_reach_the_model(spark):
+    x, y, _ = data(150, 10)
+    df = spark.createDataFrame([(k, float(y[k]), x[k].tolist()) for k in range(150)], "row_id long, label double, features array<double>")
+    plan = splits.shuffle_split(df, [(0, 0.6, 0.3)], 2)
+    chosen = experiment.preselect(df, plan, 3, "path")
+    assert chosen.groupBy("split_idx").count().filter("count <= 3").count() == 2 and chosen.filter("feature = 0").count() == 2
+    scores = spark.createDataFrame([(j, 0.5) for j in range(10)], "j int, score double")
+    got = experiment.run(df, plan, scores, experiment.Study(cv=3, methods=[experiment.ridge()]), preselected=chosen)
+    assert min(r.auroc for r in got.collect()) > 0.8

@@ -143,3 +143,17 @@ def test_selection_and_synthetic_data(spark):
     names = spark.createDataFrame([(f"n{k}",) for k in range(10)], "feature string")
     fake = synthetic.fake_names(names, names.withColumnRenamed("feature", "name"), 0.5).collect()
     assert sum(r.feature != r.new_name for r in fake) == 5 and len({r.new_name for r in fake}) == 10
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from priorforge.__main__ import main
+
+    csv = tmp_path / "d.csv"
+    csv.write_text("a,b,y\n" + "".join(f"{k % 7},{(k * 37) % 11},{'p' if k % 7 > 2 else 'n'}\n" for k in range(120)))
+    main(["build", str(csv), str(tmp_path / "set"), "--schema", "a int, b int, y string", "--label", "y", "--splits", "1"])
+    main(["study", str(tmp_path / "set"), "--results", str(tmp_path / "res")])
+    got = spark.read.parquet(str(tmp_path / "res"))
+    assert {r.name for r in got.select("name").distinct().collect()} == {"lasso_t0", "lasso_t1", "lasso_t2", "oof_positive"}
+    n = got.count()
+    main(["study", str(tmp_path / "set"), "--results", str(tmp_path / "res")])
+    assert spark.read.parquet(str(tmp_path / "res")).count() == n
