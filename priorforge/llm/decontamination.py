@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow_text import slices
 from .features import groups
 from .scratch import table
 
@@ -81,7 +82,7 @@ def encode(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFra
     def run(batches):
         known = vocab.value
         total, n_blocks = np.zeros(len(known), np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             seqs: list[list[bytes]] = [[] for _ in range(b.num_rows)]
             for w in groups(b.column(2), shapes=False):
                 ok = w.core != 0
@@ -171,7 +172,7 @@ def corpus_directions(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, ove
     def run(batches):
         idf, w = sent.value
         total = np.zeros((n, k), np.float64)
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(0).to_pylist()
             for s, e in _some(raw):
                 _, _, _, _, start, term, weight = _passages(raw[s:e], idf)
@@ -249,7 +250,7 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray
 
     def run(batches):
         idf, weight, basis, latent, words, answer, names, bare = sent.value
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(2).to_pylist()
             found: list[dict[int, float]] = [{} for _ in raw]
             for s, e in _some(raw):

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow_text import slices
 from .features import groups, pairs
 from .toxicity import labelled_sample
 
@@ -48,7 +49,7 @@ def document_frequencies(docs: DataFrame, bits: int = BITS, text_col: str = "tex
 
     def run(batches):
         total, rows = np.zeros(1 << bits, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             rows += b.num_rows
             total += np.bincount(_counted(b.column(0), bits)[1], minlength=1 << bits)
         at = np.flatnonzero(total)
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", per
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             row, slot, count = _counted(b.column(2), bits)
             row, slot, count = (a[keep[slot]] for a in (row, slot, count))
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -185,7 +186,7 @@ def score_quality(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, t
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_votes(b.column(1), sent.value, neighbours, bits))], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -198,7 +199,7 @@ def keep_good(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, thres
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(_votes(b.column(at), sent.value, neighbours, bits) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow_text import slices
 from .features import groups, pairs
 
 BITS = 20
@@ -79,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", per
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("slots", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [s.astype(np.uint32).tobytes() for s in _row_slots(b.column(2), bits)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(rows, pa.binary())], schema=schema)
 
@@ -103,7 +104,7 @@ def score_toxicity(docs: DataFrame, model, threshold: float = 0.7, bits: int = B
         at, weights, bias = sent.value
         dense = np.zeros(1 << bits)
         dense[at] = weights
-        for b in batches:
+        for b in slices(batches):
             total = np.full(b.num_rows, bias)
             held = [np.zeros(0, np.int64)]
             for w in groups(b.column(1), shapes=False):
