@@ -26,8 +26,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BINS = 128
 #: Shingles hashed and counted at a time.
 BLOCK = 1 << 16
-#: A cell with more comparisons than this goes down STEP more bits before tasks walk it.
-FULL_CELL, STEP = 1 << 31, 6
+#: A cell with more pairs than this goes down STEP more bits before tasks walk it (they compare few of the pairs).
+FULL_CELL, STEP = 1 << 38, 6
 ZERO_NIBBLES = np.array([(v >> 4 == 0) + (v & 15 == 0) for v in range(256)], np.uint8)
 
 
@@ -81,8 +81,9 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, with_sketch: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long[, sketch binary]) of whole texts. Null and empty texts: 0. The long holds the 64 bits, signed."""
-    fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + [pa.field("sketch", pa.binary())] * with_sketch
+    """(doc_id, fp long[, sketch binary, h long]) of whole texts. Null and empty texts: 0. The long holds the 64 bits,
+    signed; h is the text's hash."""
+    fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + [pa.field("sketch", pa.binary()), pa.field("h", pa.int64())] * with_sketch
     schema = pa.schema(fields)
 
     def run(batches):
@@ -95,10 +96,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, with_sketch: bool = False, i
                 fps[i] = fingerprint(blocks)
                 if with_sketch:
                     sks.append(sketch(blocks))
-            yield batch(schema, b.column(0), fps.view(np.int64), *([sks] if with_sketch else []))
+            yield batch(schema, b.column(0), fps.view(np.int64), *([sks, b.column(2)] if with_sketch else []))
 
-    ddl = "doc_id long, fp long" + ", sketch binary" * with_sketch
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    ddl = "doc_id long, fp long" + ", sketch binary, h long" * with_sketch
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")] + [F.xxhash64(text_col).alias("h")] * with_sketch
+    return docs.select(*cols).mapInArrow(run, ddl)
 
 
 def _masks(bits: int, budget: int) -> list[tuple[int, int]]:
@@ -232,7 +234,8 @@ def trie_links(fps: DataFrame, max_bits: int, turns: int = 1, bits: int | None =
     budget = max_bits // turns
     if bits is None:
         n = fps.count()
-        bits = max(5 if turns > 1 else 9, min(14, math.ceil(math.log2(n + 1)) - 12))
+        depth = math.ceil(math.log2(n + 1))
+        bits = max(5, min(10, depth - 16)) if turns > 1 else max(9, min(14, depth - 12))
     extra = ["sketch"] if has else []
     turn = lambda r: fps.select(
         F.lit(r).alias("turn"),
@@ -308,7 +311,7 @@ def _cell_links(rows: DataFrame, depth: int, first: int, budget: int, total: int
 def simhash_components(
     docs: DataFrame, shingle: int = 3, max_bits: int = 2, turns: int = 1, min_resemblance: float | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, fp (long), component_id, kept, n_same: near-duplicate groups by fingerprints of whole texts.
+    """doc_id, fp (long), component_id, kept, n_same[, h: hash of the text]: near-duplicate groups by fingerprints of whole texts.
 
     Documents link if their fingerprints differ in at most ``max_bits`` bits and, with ``min_resemblance``, their
     sketches also estimate that Jaccard similarity of the shingle sets. Equal fingerprints (and equal sketches) are one
@@ -326,4 +329,4 @@ def simhash_components(
     named = kinds.join(joined, kinds["id"] == joined["node"], "left").select("id", "least", "n_same", *by, F.coalesce("component", "id").alias("c"))
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
     of = named.join(names, "c").select(*by, "component_id", "n_same")
-    return known.join(of, by).select("doc_id", "fp", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_same")
+    return known.join(of, by).select("doc_id", "fp", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_same", *["h"] * has)

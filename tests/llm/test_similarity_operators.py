@@ -339,10 +339,11 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_edges(spark, tmp_path):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "one two three four five six", "en", None, 27), (3, "one two three four five six", "en", None, 27), (None, "no id here", None, None, None)]
+    rows += [(5, "alpha beta gamma delta epsilon zeta", None, None, None), (5, "eta theta iota kappa lambda mu", None, None, None)]
     for name, some in (("some", rows), ("none", [])):
         path = str(tmp_path / name)
         spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         got = corpus_pipeline.run(spark, path).collect()
-        assert sorted(str(r.doc_id) for r in got) == (["1", "3", "None"] if some else [])
+        assert sorted(str(r.doc_id) for r in got) == (["1", "3", "5", "5", "None"] if some else [])
