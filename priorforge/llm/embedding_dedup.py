@@ -97,32 +97,57 @@ def _owned(lists: np.ndarray, f: int, i: np.ndarray, j: np.ndarray) -> np.ndarra
     return ok
 
 
-def _unit(t: pa.Table, f: int, bi: int, bj: int, least: float):
-    """(class, other or null, links) rows of one unit: link counts per class, and a spanning forest of its links."""
-    ids, block = t.column("cid").to_numpy(), t.column("block").to_numpy()
-    n = t.column("n").to_numpy()
-    v = np.array(t.column("v").to_pylist(), np.float64)
-    lists = t.column("filters").to_pylist()
-    pad = np.full((len(ids), max(map(len, lists))), np.iinfo(np.int64).max)
-    for k, x in enumerate(lists):
-        pad[k, : len(x)] = x
-    norm = np.sqrt((v * v).sum(1))
-    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-    cosine = (v[left] @ v[right].T) / (norm[left][:, None] * norm[right][None, :])
-    i, j = np.nonzero(cosine >= least)
-    i, j = left[i], right[j]
-    if bi == bj:
-        i, j = i[i < j], j[i < j]
-    if not len(i):
+def _lists(col) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.values.to_numpy(), col.offsets.to_numpy()
+
+
+def _units(t: pa.Table, least: float):
+    """(class, other or null, links) rows of whole units, sorted by (label, f, bi, bj): link counts per class in each
+    unit, and a spanning forest of the unit's links."""
+    label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    f, bi, bj, ids, block, n = (t.column(c).to_numpy() for c in ("f", "bi", "bj", "cid", "block", "n"))
+    values, vo = _lists(t.column("v"))
+    filters, fo = _lists(t.column("filters"))
+    new = np.concatenate([[True], (label[1:] != label[:-1]) | (f[1:] != f[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+    starts = np.flatnonzero(new)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+        if e - s < 2:
+            continue
+        v = values[vo[s] : vo[e]].reshape(e - s, -1)
+        v = v / np.sqrt((v * v).sum(1))[:, None]
+        if bi[s] == bj[s]:
+            left = right = np.arange(e - s)
+        else:
+            left, right = np.flatnonzero(block[s:e] == bi[s]), np.flatnonzero(block[s:e] == bj[s])
+        cosine = v[left] @ v[right].T
+        hit = cosine >= least
+        if left is right:
+            hit &= np.arange(e - s)[:, None] < np.arange(e - s)[None, :]
+        if not hit.any():
+            continue
+        i, j = np.nonzero(hit)
+        i, j = left[i], right[j]
+        tree = Forest(e - s).join(i, j)
+        lists = [filters[fo[k] : fo[k + 1]] for k in range(s, e)]
+        pad = np.full((e - s, max(map(len, lists))), np.iinfo(np.int64).max)
+        for k, x in enumerate(lists):
+            pad[k, : len(x)] = x
+        own = _owned(pad, int(f[s]), i, j)
+        i, j, here, size = i[own], j[own], ids[s:e], n[s:e]
+        links = (np.bincount(i, size[j], e - s) + np.bincount(j, size[i], e - s)).astype(np.int64)
+        has = np.flatnonzero(links)
+        out.append((here[has], np.full(len(has), -1), links[has]))
+        if tree:
+            a, b = np.array(tree).T
+            out.append((here[a], here[b], np.zeros(len(a), np.int64)))
+    if not out:
         return None
-    forest = Forest(len(ids)).join(i, j)
-    own = _owned(pad, f, i, j)
-    i, j = i[own], j[own]
-    links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-    has = np.flatnonzero(links)
-    a = np.concatenate([ids[has], ids[[x for x, _ in forest]]]).astype(np.int64)
-    b = pa.array([None] * len(has) + ids[[y for _, y in forest]].tolist(), pa.int64())
-    return pa.array(a), b, pa.array(np.concatenate([links[has], np.zeros(len(forest))]).astype(np.int64))
+    a, b, links = (np.concatenate([o[k] for o in out]) for k in range(3))
+    none = np.concatenate([np.full(len(o[0]), not o[2].size or o[2][0] > 0) for o in out])
+    return pa.array(a), pa.array(b, mask=none), pa.array(links)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
@@ -172,26 +197,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     key = ["label", "f", "bi", "bj"]
 
     def compare(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
+        rest = None
         for b in batches:
             if not b.num_rows:
                 continue
-            label, f, bi, bj = b.column(0).to_pylist(), *(b.column(k).to_numpy() for k in (1, 2, 3))
-            s = 0
-            while s < b.num_rows:
-                now = (label[s], int(f[s]), int(bi[s]), int(bj[s]))
-                e = s + 1
-                while e < b.num_rows and (label[e], f[e], bi[e], bj[e]) == now:
-                    e += 1
-                if now != last and held:
-                    if (got := _unit(pa.Table.from_batches(held), *last[1:], least)) is not None:
-                        yield pa.RecordBatch.from_arrays(list(got), schema=result)
-                    held = []
-                last = now
-                held.append(b.slice(s, e - s))
-                s = e
-        if held and (got := _unit(pa.Table.from_batches(held), *last[1:], least)) is not None:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            # the last unit may go on in the next batch
+            last = [t.column(c)[t.num_rows - 1].as_py() for c in key]
+            cut = t.num_rows
+            cols = [t.column(c) for c in key]
+            while cut and all(c[cut - 1].as_py() == x for c, x in zip(cols, last)):
+                cut -= 1
+            rest = t.slice(cut)
+            if cut and (got := _units(t.slice(0, cut), least)) is not None:
+                yield pa.RecordBatch.from_arrays(list(got), schema=result)
+        if rest is not None and (got := _units(rest, least)) is not None:
             yield pa.RecordBatch.from_arrays(list(got), schema=result)
 
     units = units.select(*key, "cid", "block", "n", "v", "filters").repartition(*key).sortWithinPartitions(*key)
