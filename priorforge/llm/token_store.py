@@ -10,6 +10,7 @@ a document is decoded from its own symbols and the rules alone; the lengths give
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -37,6 +38,7 @@ class Encoder:
     """Ids of texts by the tokenizers library, which sees every distinct part; parts met before are kept."""
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(model)
@@ -106,9 +108,9 @@ def compress(ids: np.ndarray, last: np.ndarray, vocab: int, rounds: int = ROUNDS
         if not len(at):
             break
         # runs of neighbouring places overlap: take the 1st, 3rd, ... of each run
-        start = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - first) % 2 == 0
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        first = np.repeat(start, np.diff(np.append(start, len(at))))
+        even = (np.arange(len(at)) - first) & 1 == 0
         at, slot = at[even], slot[even]
         chosen = pair[good]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
