@@ -22,7 +22,7 @@ from .arrow_text import GROUP_BYTES
 
 BLANK = "▁"
 #: Parts that a worker keeps; beyond, it starts anew.
-KEPT = 1_000_000
+KEPT = 700_000
 #: Up to so many characters the agenda is a plain list.
 SHORT = 48
 
