@@ -27,7 +27,7 @@ from .sentencepiece_codec import look_up, text_groups
 PARTS = re.compile(r" ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~\s]|$)| ?\S+|\s+(?!\S)|\s+")
 #: White space to re, but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
-KEPT = 1_000_000
+KEPT = 1_500_000
 BLOCK_TOKENS = 1 << 21
 #: Rules fit 16 bits beside a vocabulary of 50,257 ids: ROUNDS * PAIRS is at most 65,536 less that.
 ROUNDS, PAIRS, LEAST, SLOT_BITS = 4, 3800, 8, 20
@@ -52,7 +52,7 @@ class Encoder:
         known = self.known
         if len(known) + len(parts) > KEPT:
             known.clear()
-        words = [p for p in parts if len(w := p.split()) == 1 and p.removeprefix(" ") == w[0]]
+        words = [p for p in parts if not p.isspace()]
         if words:
             some = ["\n".join(words[k : k + 500]) + "\n" for k in range(0, len(words), 500)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)])
@@ -70,11 +70,14 @@ class Encoder:
     def group(self, texts: list[str]) -> list[bytes]:
         flat, ends = [], [0]
         for t in texts:
-            if t:
-                flat += [t] if ODD.search(t) else PARTS.findall(t)
+            if t and not ODD.search(t):
+                flat += PARTS.findall(t)
             ends.append(len(flat))
         got = look_up(self.known, flat, self.learn)
-        return [b"".join(got[s:e]) for s, e in zip(ends, ends[1:])]
+        return [self.whole(t) if t and s == e else b"".join(got[s:e]) for t, s, e in zip(texts, ends, ends[1:])]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
 def compress(ids: np.ndarray, last: np.ndarray, vocab: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
@@ -90,10 +93,12 @@ def compress(ids: np.ndarray, last: np.ndarray, vocab: int, rounds: int = ROUNDS
         if len(sym) < 2:
             break
         slot = (sym[:-1] * np.uint32(0x9E3779B1) ^ sym[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-        counts = np.bincount(slot[~last[:-1]], minlength=1 << SLOT_BITS)
+        slot *= ~last[:-1]  # pairs across documents go to slot 0, which isn't used
+        counts = np.bincount(slot, minlength=1 << SLOT_BITS)
+        counts[0] = 0
         often = counts[counts >= least]
         floor = int(np.partition(often, -pairs)[-pairs]) if len(often) > pairs else least
-        at = np.flatnonzero((counts >= floor)[slot] & ~last[:-1])
+        at = np.flatnonzero((counts >= floor)[slot])
         if not len(at):
             break
         # a slot stands for the pair found there last, nearly always its most frequent one
