@@ -3,8 +3,11 @@
 Documents become sequences of the benchmark's words (all other words are one symbol) and are cut into overlapping
 passages. Over the whole corpus, the passages' document frequencies give TF-IDF weights, and a distributed randomised
 SVD of the passage matrix gives a latent space, to which the benchmark's own vectors are added. Passages whose cosine
-with an item is high enough there are candidates (what of a passage lies outside the space counts in its length); the longest common subsequence of a candidate and the item decides,
-and, where that is a paraphrase's, whether the item's last sentence (its answer) is there too.
+with an item is high enough there are candidates (what of a passage lies outside the space counts in its length). That
+serves the items of which any passage with enough words for a finding reaches the cosine; for the others (long ones, and
+those with little weight in the space) every document that has enough of their words is a candidate. The longest common
+subsequence of a candidate and the item decides, and, where that is a paraphrase's, whether the item's last sentence
+(its answer) is there too.
 """
 
 from __future__ import annotations
@@ -230,6 +233,52 @@ def _lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float,
     return len(got), float(weight[a[got]].sum()) if got else 0.0, got
 
 
+def _sure(items: Items, idf: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether every passage that can be a finding of the item has at least that cosine with it.
+
+    The least case: the heaviest 1 - PARAPHRASE of the item's words are missing, and all other words of the passage are
+    different ones of the greatest weight that the item doesn't have. Longer items may lie across passages.
+    """
+    out = np.zeros(len(items.words), bool)
+    for k, w in enumerate(items.words):
+        if len(w) + len(w) // 2 > BLOCK:
+            continue
+        kept = np.sort(idf[w])[: int(np.ceil(PARAPHRASE * len(w)))]
+        _, tf = np.unique(w, return_counts=True)
+        whole = (1 + np.log(tf)) * idf[np.unique(w)]
+        # of a repeated word one may be left: each kept word counts once, by its weight without repetition
+        left = np.sort(idf[np.unique(w)])[: max(0, len(tf) - (len(w) - len(kept)))]
+        most = (left @ left) + (2 * BLOCK - len(left)) * idf.max(initial=0) ** 2
+        out[k] = left @ left > 0 and (left @ left) >= cosine * np.linalg.norm(whole) * np.sqrt(most)
+    return out
+
+
+def _holders(ids: np.ndarray, first: np.ndarray, lens: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, weight: np.ndarray, heavy: np.ndarray):
+    """(document, item) of all documents with enough of an item's words, in any order, for a finding.
+
+    counts: of each item the words and how often it has them; sizes, heavy: its words and their weight, summed.
+    """
+    doc = np.repeat(np.arange(len(lens)), lens)
+    cell = np.unique(doc[ids >= 0] * len(weight) + ids[ids >= 0])
+    d, term = cell // len(weight), cell % len(weight)
+    if not len(d):
+        return
+    start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    for s in range(0, len(counts), 64):
+        some = np.zeros((len(weight), len(counts[s : s + 64])), np.float32)
+        for k, (t, tf) in enumerate(counts[s : s + 64]):
+            some[t, k] = tf
+        ends = np.append(start, len(d))
+        for a in range(0, len(start), 256):
+            b = min(a + 256, len(start))
+            lo, hi = ends[a], ends[b]
+            rows = some[term[lo:hi]]
+            n = np.add.reduceat(rows, start[a:b] - lo, axis=0) / sizes[s : s + 64]
+            w = np.add.reduceat(rows * weight[term[lo:hi], None], start[a:b] - lo, axis=0) / heavy[s : s + 64]
+            x, k = np.nonzero((n >= COPY - 1e-4) | ((n >= PARAPHRASE - 1e-4) & (w >= PARAPHRASE_WEIGHT - 1e-4)))
+            yield from zip(d[start[a + x]].tolist(), (k + s).tolist())
+
+
 def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray, directions: np.ndarray, cosine: float = COSINE) -> DataFrame:
     """(doc_id, h, found): for every document the items it holds and the share of their words, as an array of structs."""
     n = len(items.vocab)
@@ -238,18 +287,21 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray
         term, tf = np.unique(w, return_counts=True)
         rows[k, term] = (1 + np.log(tf)) * idf[term]
     length = np.linalg.norm(rows, axis=1)
-    # items without a rare word aren't retrieved by their vector: they are held against every passage with a term
-    bare = np.flatnonzero(length == 0)
+    # items that their vector may not retrieve are held against every document with enough of their words
+    bare = np.flatnonzero(~_sure(items, idf, cosine))
+    counts = [np.unique(items.words[k], return_counts=True) for k in bare]
+    sizes, heavy_all = np.array([len(items.words[k]) for k in bare]), np.array([weight[items.words[k]].sum() for k in bare])
     rows /= np.maximum(length, 1e-12)[:, None]
     q = np.linalg.svd(np.concatenate([directions, rows.T], 1), full_matrices=False)
     basis = q[0][:, q[1] > 1e-6].astype(np.float32)
     latent = (rows @ basis).astype(np.float32)
-    sent = encoded.sparkSession.sparkContext.broadcast((idf, weight, basis, latent, items.words, items.answer, items.ids, bare))
+    latent[bare] = 0
+    sent = encoded.sparkSession.sparkContext.broadcast((idf, weight, basis, latent, items.words, items.answer, items.ids, bare, counts, sizes, heavy_all))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("found", kind)])
 
     def run(batches):
-        idf, weight, basis, latent, words, answer, names, bare = sent.value
+        idf, weight, basis, latent, words, answer, names, bare, counts, sizes, heavy_all = sent.value
         for b in slices(batches):
             raw = b.column(2).to_pylist()
             found: list[dict[int, float]] = [{} for _ in raw]
@@ -261,7 +313,9 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray
                     todo.append(np.stack([p + r, k], 1))
                 pairs = [(int(at[p, 0]), int(at[p, 1]), int(k)) for p, k in np.concatenate(todo).tolist()] if todo else []
                 if len(bare):
-                    pairs += [(d, blk, int(k)) for d in range(e - s) for blk in range(max(1, -(-int(lens[d]) // BLOCK))) for k in bare]
+                    more = _holders(ids, first, lens, counts, sizes, weight, heavy_all)
+                    pairs += [(d, blk, int(bare[k])) for d, k in more for blk in range(max(1, -(-int(lens[d]) // BLOCK)))]
+                seen = None
                 for d, blk, k in pairs:
                     item = words[k]
                     if found[s + d].get(k, 0.0) >= 1.0:
@@ -269,6 +323,9 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray
                     # room for items longer than a block on either side
                     spare = max(0, len(item) + len(item) // 2 - BLOCK)
                     lo, hi = max(0, blk * BLOCK - spare), min(int(lens[d]), (blk + 2) * BLOCK + spare)
+                    if seen == (d, k, lo, hi):
+                        continue
+                    seen = d, k, lo, hi
                     seq = ids[first[d] + lo : first[d] + hi]
                     seq = seq[seq >= 0]
                     if np.isin(item, seq).mean() < PARAPHRASE:

@@ -5,7 +5,7 @@ import random
 import duckdb
 
 import corpus_pipeline
-from priorforge.llm import resemblance
+from priorforge.llm import decontamination, resemblance
 
 
 def shingles(text):
@@ -58,3 +58,25 @@ def test_pipeline_near_duplicates_on_documents(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
     assert bands and kept == {rows[k][0] for k in range(len(rows)) if top[k] == k}
+
+
+def test_long_items_and_items_of_frequent_words_are_found(spark):
+    random.seed(8)
+    words = [f"w{k}" for k in range(20000)]
+    frequent = [f"f{k}" for k in range(40)]
+    items = [(k, " ".join(random.sample(words, 1500)) + ".") for k in range(8)]
+    # two words of these are rare at most, the others stand in most documents
+    items += [(10 + k, " ".join(random.sample(frequent, 28) + random.sample(words, k)) + ".") for k in range(3)]
+    rows, want = [], {}
+    for k in range(150):
+        body = random.choices(words, k=300) + random.choices(frequent, k=300)
+        random.shuffle(body)
+        want[k] = []
+        if k % 5 == 0:
+            i, text = items[k // 5 % len(items)]
+            at = random.randint(0, len(body))
+            body[at:at] = text.split()
+            want[k] = [i]
+        rows.append((k, " ".join(body)))
+    got = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: sorted(x.item_id for x in r.found) for r in got} == want
