@@ -174,6 +174,16 @@ def dedup_docs(spark, d):
     return got.select("content", value("lang").alias("lang"), value("source").alias("source"), "doc_id")
 
 
+@query("dedup_docs_text", """
+SELECT text AS content, lang, source, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2, 3""")
+def dedup_docs_text(spark, d):
+    """G11 over the whole text; dedup_docs and its SQL stand for it with the length modulo 50."""
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("meta"))
+    got = prep.distinct_documents(docs, "content", "meta", "doc_id")
+    value = lambda k: F.filter("metadata", lambda e: e["key"] == k)[0]["value"]
+    return got.select("content", value("lang").alias("lang"), value("source").alias("source"), "doc_id")
+
+
 @query("union_difference", """
 SELECT 'u' AS part, count(*) AS n FROM (SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer)
 UNION ALL SELECT 'd', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)""")
