@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "study":
         _run(spark, a, experiment.learner_study(a.learner))
     else:
-        _run(spark, a, [experiment.ensemble(learners=tuple(a.learners)), experiment.prior_lasso(), experiment.no_prior_stack(tuple(a.learners)), *experiment.baselines()[:1]])
+        _run(spark, a, [experiment.ensemble(learners=tuple(a.learners)), experiment.prior_lasso(), experiment.no_prior_stack(tuple(a.learners)), *experiment.baselines()])
 
 
 if __name__ == "__main__":

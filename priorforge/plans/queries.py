@@ -650,16 +650,16 @@ def synthetic_signal(spark, d):
 def _study(spark, d, methods, n_splits=1):
     data = read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("features"))
     sp = splits.shuffle_split(rows(spark, d), PLAN[1:], n_splits)
-    return experiment.run(data, sp, scores(spark, "j"), experiment.Study(cv=3, methods=methods))
+    return experiment.run(data, sp, scores(spark, "j"), experiment.Study(methods=methods))
 
 
 for _learner in ("lasso", "boosted", "forest", "kernel"):
-    query(f"{_learner}_fit")(lambda spark, d, a=_learner: _study(spark, d, experiment.learner_study(a, (0.0, 1.0))[:2]))
+    query(f"{_learner}_fit")(lambda spark, d, a=_learner: _study(spark, d, experiment.learner_study(a)))
 
 
 @query("stack_base")
 def stack_base(spark, d):
-    return _study(spark, d, [experiment.ensemble("ensemble", ("lasso", "kernel"), (1.0,))])
+    return _study(spark, d, [experiment.ensemble()])
 
 
 @query("stack_variants")
@@ -667,12 +667,12 @@ def stack_variants(spark, d):
     from ..functions import meta
 
     kinds = (meta.GREEDY, meta.STRATIFIED, meta.PRESELECTED, meta.POSTSELECTED, meta.POSTSELECTED_STRATIFIED)
-    return _study(spark, d, [experiment.ensemble(k, ("lasso", "kernel"), (1.0,), stack=k) for k in kinds])
+    return _study(spark, d, [experiment.ensemble(k, stack=k) for k in kinds])
 
 
 @query("baselines")
 def baseline_methods(spark, d):
-    return _study(spark, d, [experiment.baselines()[0], experiment.prior_lasso((1.0,)), experiment.no_prior_stack(("lasso", "kernel"))])
+    return _study(spark, d, [*experiment.baselines(), experiment.prior_lasso(), experiment.no_prior_stack()])
 
 
 @query("preselected_features")
