@@ -132,6 +132,12 @@ def pivot_wide(spark, d):
     return prep.wide_features(long(spark, d).filter("j < 2"), [0, 1])
 
 
+@query("pivot_wide_all", "SELECT vec_id AS row_id, " + ", ".join(f'embedding[{j + 1}]::DOUBLE AS "{j}"' for j in range(64)) + " FROM embeddings")
+def pivot_wide_all(spark, d):
+    """All 64 features; pivot_wide and its SQL have the first two."""
+    return prep.wide_features(long(spark, d), list(range(64)))
+
+
 @query("having_min_total", """
 SELECT l_partkey, sum(round_even(l_quantity, 0)::BIGINT)::BIGINT AS total FROM lineitem GROUP BY 1 HAVING total >= 800""")
 def having_min_total(spark, d):
