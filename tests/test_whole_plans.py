@@ -11,3 +11,17 @@ def test_queries_take_all_methods(monkeypatch):
         assert run(f"{a}_fit") == experiment.learner_study(a)
     for m in [*run("stack_base"), *run("stack_variants")]:
         assert {x.learner for x in m.members} == {"lasso", "boosted", "forest", "kernel"}
+
+
+def test_folds_take_the_form_of_the_final_kernel(monkeypatch):
+    import numpy as np
+
+    from priorforge.functions import kernels
+
+    forms, fit = [], kernels.Kernel.fit
+    monkeypatch.setattr(kernels.Kernel, "fit", lambda self, *a: (fit(self, *a), forms.append(self.train is None))[0])
+    x = np.random.default_rng(1).standard_normal((120, 4))
+    for exact, approximate in ((100, True), (120, False)):
+        forms.clear()
+        kernels.fit_out_of_fold("kernel", "binary", x, (x[:, 0] > 0).astype(float), np.arange(120) % 3, exact=exact)
+        assert forms == [approximate] * 4
