@@ -353,7 +353,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     is a stated query set: it goes through in blocks of ITEMS items, each a pass over the documents.
     """
     rows = sorted(((r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-    out = None
+    out, parts = None, 0
     for s in range(0, max(1, len(rows)), ITEMS):
         items = Items(rows[s : s + ITEMS])
         if not items.ids:
@@ -368,8 +368,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             idf = np.where(df <= MAX_SHARE * blocks, weight, 0.0)
             encoded = both.filter("term is null")
             part = search(encoded, items, idf, weight, corpus_directions(encoded, idf))
-        if out is None:
-            out = part
-        else:
-            out = out.unionByName(part).groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        out = part if out is None else out.unionByName(part)
+        parts += 1
+    if parts > 1:
+        # one row for each of docs, as with one block: what is found goes back to the rows by id and text
+        merged = out.groupBy(F.col("doc_id").alias("i"), F.col("h").alias("t")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"))
+        out = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t"))).select("doc_id", "h", "found")
     return out.select("doc_id", "h", (F.size("found") > 0).alias("contaminated"), "found")

@@ -80,3 +80,11 @@ def test_long_items_and_items_of_frequent_words_are_found(spark):
         rows.append((k, " ".join(body)))
     got = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id: sorted(x.item_id for x in r.found) for r in got} == want
+
+
+def test_repeated_rows_stay_with_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(5)]
+    rows = [(1, items[4][1]), (1, items[4][1]), (None, "a b"), (None, "a b"), (2, None)]
+    got = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), [x.item_id for x in r.found]) for r in got) == [("1", [4]), ("1", [4]), ("2", []), ("None", []), ("None", [])]
