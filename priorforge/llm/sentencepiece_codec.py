@@ -4,7 +4,9 @@ Adjacent symbols whose concatenation is a piece wait on an agenda, best score fi
 best pair merges and its new neighbours join the agenda. Characters that no piece covers fall back to byte pieces.
 Merges never cross a place between two characters that stand side by side in no piece: the text is cut at such places
 (before blanks, between letters and punctuation marks), and each worker keeps the segmentations of the parts it has
-met. Every new part is checked against the sentencepiece library as it is met, a batch at a time.
+met. Every new part is checked against the sentencepiece library as it is met, a batch at a time, and so is one whole
+document of each Arrow batch; a vocabulary without such cuts has every document checked. Decoding is the library's, from
+the ids of each document.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from .arrow_text import GROUP_BYTES
 
 BLANK = "▁"
-#: Parts that a worker keeps; beyond, it starts anew.
-KEPT = 700_000
+#: Bytes of the parts that a worker keeps (with what Python needs for each); beyond, it starts anew.
+KEPT_BYTES, ENTRY_BYTES = 144 << 20, 200
 #: Up to so many characters the agenda is a plain list.
 SHORT = 48
 
@@ -41,17 +43,15 @@ class Codec:
         self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
-        self.control = {i for i in range(n) if sp.is_control(i)}
         self.unk = sp.unk_id()
         self.cut = self._cutter()
         # what the library does with a lone 'a' shows whether it sets a blank before the text
         self.prefix = BLANK if sp.decode_pieces([BLANK + "a"]) == "a" and sp.encode("a", out_type=str)[0].startswith(BLANK) else ""
-        #: ids whose surface is not their piece
-        self.low_bytes = {*self.bytes_of, *self.control, self.unk}
-        #: ids (int32) of parts; texts of those parts that don't decode to themselves
+        #: whether parts can be checked in one text, between line ends; else documents are, each of them
+        self.by_parts = bool(self.cut and self.cut.fullmatch("\n") and len(self.cut.findall("\na")) == 2)
+        #: ids (int32) of parts, and the bytes that these take
         self.known: dict[str, bytes] = {}
-        self.odd: dict[str, str] = {}
+        self.held = 0
 
     def _cutter(self) -> re.Pattern | None:
         """Pattern of the parts that no merge leaves; None if pieces have blanks after other characters.
@@ -134,51 +134,25 @@ class Codec:
                 heapq.heappush(wait, (-s, h, len(sym[h]) + len(merged)))
         return sym
 
-    def surface(self, ids: list[int]) -> str:
-        """Text of ids, blanks marked still; runs of byte pieces are read as UTF-8."""
-        out, run = [], b""
-        for i in ids:
-            if i in self.bytes_of:
-                run += self.bytes_of[i]
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = b""
-            out.append(" ⁇ " if i == self.unk else "" if i in self.control else self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out)
-
     def learn(self, parts: list[str]) -> None:
         """Segment new parts and hold them against the library."""
-        if len(self.known) + len(parts) > KEPT:
-            self.known.clear()
-            self.odd.clear()
         got = [self.agenda(p) for p in parts]
-        if self.check and self.cut:
+        if self.check and self.by_parts:
             self._compare(parts, got)
-        pieces, low = self.pieces, self.low_bytes
-        for p, a in zip(parts, got):
-            self.known[p] = array("i", a).tobytes()
-            text = "".join([pieces[i] for i in a]) if low.isdisjoint(a) else self.surface(a)
-            if text != p:
-                self.odd[p] = text
+        raw = [array("i", a).tobytes() for a in got]
+        self.held = kept(self.known, self.held, parts, raw)
 
     def _compare(self, parts: list[str], got: list[list[int]]) -> None:
         """The library's ids of all new parts, set in one text with line ends between them, which are parts of their own."""
         end = self.agenda("\n")
-        if not self.cut.fullmatch("\n") or len(self.cut.findall("\na")) != 2:
-            theirs = [self.lib.encode(p) for p in parts]
-            raise RuntimeError(f"line ends merge in this vocabulary; {len(theirs)} parts can't be checked")
-        joined = "".join([p + "\n" for p in parts])
-        theirs = self.lib.encode("\n" + joined)
+        theirs = self.lib.encode("\n" + "".join([p + "\n" for p in parts]))
         want = (self.agenda(BLANK) if self.prefix else []) + end + [i for a in got for i in (*a, *end)]
         if theirs != want:
             bad = [p for p, a in zip(parts, got) if self.lib.encode("\n" + p) != (self.agenda(BLANK) if self.prefix else []) + end + a]
             raise RuntimeError(f"the agenda differs from the library on {bad[:5]!r}")
 
-    def group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(ids, ids per text, decoded texts) of some texts."""
+    def group(self, texts: list[str], whole: int | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(ids, ids per text, decoded texts) of some texts. Text number ``whole`` is checked as a whole."""
         find = self.cut.findall if self.cut else lambda t: [t]
         flat, ends = [], [0]
         for t in texts:
@@ -188,12 +162,28 @@ class Codec:
         got = look_up(self.known, flat, self.learn)
         runs = [b"".join(got[s:e]) for s, e in zip(ends, ends[1:])]
         counts = np.array([len(r) // 4 for r in runs], np.int64)
-        odd, drop = self.odd, len(self.prefix)
-        decoded = []
-        for a, b in zip(ends, ends[1:]):
-            text = "".join([odd.get(p, p) for p in flat[a:b]] if odd else flat[a:b])
-            decoded.append((text[drop:] if text.startswith(self.prefix) else text).replace(BLANK, " "))
-        return np.frombuffer(b"".join(runs), np.int32), counts, decoded
+        ids = np.frombuffer(b"".join(runs), np.int32)
+        cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        rows = [ids[s:e].tolist() for s, e in zip(cuts, cuts[1:])]
+        if self.check:
+            for k in range(len(texts)) if not self.by_parts else [] if whole is None else [whole]:
+                if rows[k] != self.lib.encode(texts[k]):
+                    raise RuntimeError(f"the ids differ from the library's on the text {texts[k][:80]!r}")
+        return ids, counts, [self.decode(r) for r in rows]
+
+    def decode(self, ids: list[int]) -> str:
+        """The library's text of a document's ids."""
+        return self.lib.decode(ids) if ids else ""
+
+
+def kept(known: dict, held: int, keys: list, values: list[bytes]) -> int:
+    """Put new entries into a memo that starts anew beyond KEPT_BYTES; what it holds now."""
+    size = sum(ENTRY_BYTES + len(k) + len(v) for k, v in zip(keys, values))
+    if held + size > KEPT_BYTES:
+        known.clear()
+        held = 0
+    known.update(zip(keys, values))
+    return held + size
 
 
 def look_up(known: dict, keys: list, learn) -> list:
@@ -232,9 +222,10 @@ def text_groups(texts: list[str], limit: int = GROUP_BYTES):
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int, no begin or end ids), n_tokens, decoded (the text that the ids decode to).
 
-    Whole texts; a null text counts as empty, which has no ids and decodes to the empty text. Rows are independent:
-    repeated ids or texts give repeated rows, an empty table an empty one, and other columns aren't read. ``model_path``
-    is a file on the driver; its bytes go to the executors as a broadcast (a vocabulary, so of bounded size).
+    Whole texts, however long: a very long one is cut into parts like any other. A null text counts as empty, which has
+    no ids and decodes to the empty text. Of equal scores the leftmost pair merges first. Rows are independent: repeated
+    ids or texts give repeated rows, an empty table an empty one, and other columns, whatever their names, aren't read.
+    ``model_path`` is a file on the driver; its bytes go to the executors as a broadcast (a vocabulary, so of bounded size).
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -243,10 +234,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         c = codec(model.value)
-        for b in batches:
+        for k, b in enumerate(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
+            whole = k % max(1, len(texts))
             for s, e in text_groups(texts):
-                ids, counts, decoded = c.group(texts[s:e])
+                ids, counts, decoded = c.group(texts[s:e], whole - s if s <= whole < e else None)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s).cast(pa.int64()), lists, pa.array(counts), pa.array(decoded, pa.string())], schema=schema)
@@ -264,10 +256,7 @@ def decode_ids(rows: DataFrame, model_path: str, ids_col: str = "ids", id_col: s
     def run(batches):
         c = codec(model.value)
         for b in batches:
-            out = []
-            for ids in b.column(1).to_pylist():
-                text = c.surface(ids or []).replace(BLANK, " ")
-                out.append(text[1:] if c.prefix and text.startswith(" ") else text)
+            out = [c.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], schema=schema)
 
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
