@@ -5,7 +5,8 @@ against lost executors. A block holds consecutive documents: the tokens before t
 ids (doc_id), the tokens and the symbols of each,
 the rules (pairs, a little-endian uint32 each) with the length that each expands to, and the symbols (uint32, or uint16
 where they fit). Symbols below ``vocab`` are token ids, ``vocab`` + r is rule r. Rules never cross a document's end, so
-a document is decoded from its own symbols and the rules alone; the lengths give the place of any token.
+a document is decoded from its own symbols and the rules alone, and the lengths give the symbol that holds any token, so
+that a range of tokens is read without expanding the rest.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import scratch_root
-from .sentencepiece_codec import look_up, text_groups
+from .sentencepiece_codec import kept, look_up, text_groups
 
 #: Byte-level pre-tokens never cross these parts' edges: plain letters and digits (with the blank before) up to a mark or
 #: white space, any other word or rest of one, a run of other white space.
 PARTS = re.compile(r" ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~\s]|$)| ?\S+|\s+(?!\S)|\s+")
 #: White space to re, but not to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
-KEPT = 1_500_000
+ODD = "[\x1c-\x1f]"
 BLOCK_TOKENS = 1 << 21
-#: Rules fit 16 bits beside a vocabulary of 50,257 ids: ROUNDS * PAIRS is at most 65,536 less that.
-ROUNDS, PAIRS, LEAST, SLOT_BITS = 4, 3800, 8, 20
+#: A round gives rules to the pairs that are at least this share as frequent as the most frequent one.
+SHARE = 0.1
+#: Bytes of a rule in a block: its pair and its length.
+RULE_BYTES = 12
+#: Vocabularies that leave fewer numbers than this below 2^16 use 32-bit symbols.
+LEAST_FREE = 1024
 BLOCK_DDL = "part int, block int, before long, doc_ids array<long>, n_tokens array<long>, n_symbols array<long>, vocab long, rules binary, rule_tokens binary, symbols binary, width int"
 
 
@@ -42,16 +46,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(model)
-        self.lib.encode_special_tokens = True  # special strings in a text are ordinary text
+        added = [t for t in self.lib.get_added_tokens_decoder().values() if t.content]
+        plain = [not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added]
+        #: texts that the library must see whole: with white space that re reads otherwise, or added tokens with rules
+        self.apart = re.compile("|".join([ODD, *[re.escape(t.content) for t, ok in zip(added, plain) if not ok]]))
+        #: other added tokens, which are parts of their own
+        self.added = re.compile("(" + ("|".join(sorted((re.escape(t.content) for t, ok in zip(added, plain) if ok), key=len, reverse=True)) or "(?!)") + ")")
         self.vocab = self.lib.get_vocab_size()
         (self.line_end,) = self.lib.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, parts: list[str]) -> None:
         """Words go to the library in one text, with line ends between them, which are tokens of their own there."""
-        known = self.known
-        if len(known) + len(parts) > KEPT:
-            known.clear()
+        known: dict[str, bytes] = {}
         words = [p for p in parts if not p.isspace()]
         if words:
             some = ["\n".join(words[k : k + 500]) + "\n" for k in range(0, len(words), 500)]
@@ -66,12 +74,14 @@ class Encoder:
         if rest := [p for p in parts if p not in known]:
             for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
                 known[p] = np.array(e.ids, np.uint32).tobytes()
+        self.held = kept(self.known, self.held, list(known), list(known.values()))
 
     def group(self, texts: list[str]) -> list[bytes]:
         flat, ends = [], [0]
         for t in texts:
-            if t and not ODD.search(t):
-                flat += PARTS.findall(t)
+            if t and not self.apart.search(t):
+                for k, x in enumerate(self.added.split(t)):
+                    flat += [x] if k & 1 else PARTS.findall(x)
             ends.append(len(flat))
         got = look_up(self.known, flat, self.learn)
         return [self.whole(t) if t and s == e else b"".join(got[s:e]) for t, s, e in zip(texts, ends, ends[1:])]
@@ -80,52 +90,53 @@ class Encoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
-def compress(ids: np.ndarray, last: np.ndarray, vocab: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
-    """(symbols, last, rules): a Re-Pair grammar of a block. ``last`` marks each document's last id.
+def compress(ids: np.ndarray, last: np.ndarray, vocab: int, share: float = SHARE):
+    """(symbols, last, rules, width): a Re-Pair grammar of a block. ``last`` marks each document's last id.
 
-    Each round counts the pairs in a hashed table, takes the ``pairs`` most frequent slots, counts exactly the pair that
-    each stands for, and gives it a nonterminal if it occurs ``least`` times. Of overlapping occurrences every second is replaced.
+    Each round counts all pairs inside documents exactly, gives a nonterminal to every pair that occurs at least ``share``
+    as often as the most frequent one, and replaces its occurrences (of overlapping ones every second). Rounds go on until
+    no pair saves more than its rule costs, or until the numbers below 2^16 are used up (with few of those beside the
+    vocabulary, symbols have 32 bits): one more rule would double every symbol. The most frequent pairs come first.
     """
+    width = 2 if vocab + LEAST_FREE <= 1 << 16 else 4
+    limit, least = (1 << 8 * width) - vocab, RULE_BYTES // width + 2
+    word = np.dtype(f"u{2 * width}")
     sym, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    top = vocab
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
-        slot = (sym[:-1] * np.uint32(0x9E3779B1) ^ sym[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-        slot *= ~last[:-1]  # pairs across documents go to slot 0, which isn't used
-        counts = np.bincount(slot, minlength=1 << SLOT_BITS)
-        counts[0] = 0
-        often = counts[counts >= least]
-        floor = int(np.partition(often, -pairs)[-pairs]) if len(often) > pairs else least
-        at = np.flatnonzero((counts >= floor)[slot])
-        if not len(at):
-            break
-        # a slot stands for the pair found there last, nearly always its most frequent one
-        slot, key = slot[at], sym[at].astype(np.uint64) << np.uint64(32) | sym[at + 1]
-        pair = np.zeros(1 << SLOT_BITS, np.uint64)
-        pair[slot] = key
-        own = key == pair[slot]
-        at, slot = at[own], slot[own]
-        good = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
-        name = (np.cumsum(good) - 1).astype(np.uint32)
-        at, slot = at[good[slot]], slot[good[slot]]
-        if not len(at):
+    made = 0
+    while made < limit and len(sym) > 1:
+        inner = np.flatnonzero(~last[:-1])
+        key = sym[inner].astype(word) << word.type(8 * width) | sym[inner + 1].astype(word)
+        order = np.sort(key)
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), order[1:] != order[:-1]]))
+        count = np.diff(np.append(start, len(order)))
+        most = int(count.max(initial=0))
+        if most < least:
             break
+        good = np.flatnonzero(count >= max(least, most * share))
+        if len(good) > limit - made:
+            good = np.sort(good[np.argsort(-count[good], kind="stable")[: limit - made]])
+        pair = order[start[good]]
+        # most places are left out by their first symbol alone
+        begins = np.zeros(vocab + made + 1, bool)
+        begins[pair >> word.type(8 * width)] = True
+        some = np.flatnonzero(begins[sym[inner]])
+        name = np.minimum(np.searchsorted(pair, key[some]), len(pair) - 1)
+        hit = pair[name] == key[some]
+        at, name = inner[some[hit]], name[hit]
         # runs of neighbouring places overlap: take the 1st, 3rd, ... of each run
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
         first = np.repeat(start, np.diff(np.append(start, len(at))))
         even = (np.arange(len(at)) - first) & 1 == 0
-        at, slot = at[even], slot[even]
-        chosen = pair[good]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        sym[at] = np.uint32(top) + name[slot]
+        at, name = at[even], name[even]
+        rules.append(np.stack([pair >> word.type(8 * width), pair & word.type((1 << 8 * width) - 1)], 1).astype(np.uint32))
+        sym[at] = (vocab + made + name).astype(np.uint32)
         last[at] |= last[at + 1]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
         sym, last = sym[stay], last[stay]
-        top += len(chosen)
-    return sym, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        made += len(pair)
+    return sym, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), width
 
 
 def rule_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
@@ -139,12 +150,10 @@ def rule_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
         n = m
 
 
-def flat_rules(rules: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, start, length): the expansions of all rules, one after another, and where each is."""
-    size = rule_lengths(rules, vocab)
-    start = np.cumsum(size) - size
-    out = rules.reshape(-1).astype(np.int64)
-    while len(rules) and (inner := out >= vocab).any():
+def _unfold(out: np.ndarray, rules: np.ndarray, vocab: int) -> np.ndarray:
+    """The tokens of some symbols, one level of rules at a time; only the rules that these symbols use are read."""
+    out = out.astype(np.int64)
+    while (inner := out >= vocab).any():
         ends = np.cumsum(1 + inner)
         got = np.empty(int(ends[-1]), np.int64)
         r = rules[out[inner] - vocab]
@@ -152,15 +161,14 @@ def flat_rules(rules: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, n
         got[ends[inner] - 2] = r[:, 0]
         got[ends[inner] - 1] = r[:, 1]
         out = got
-    return out.astype(np.uint32), start, size
+    return out.astype(np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, vocab: int) -> np.ndarray:
-    """The tokens of some symbols, gathered from the rules' expansions."""
-    tokens, start, size = flat_rules(rules, vocab)
-    every = np.concatenate([np.arange(vocab, dtype=np.uint32), tokens])
-    start = np.concatenate([np.arange(vocab), start + vocab])
-    size = np.concatenate([np.ones(vocab, np.int64), size])
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocab: int) -> np.ndarray:
+    """The tokens of many symbols, gathered from the expansions of all rules, whose ``lengths`` are given."""
+    every = np.concatenate([np.arange(vocab, dtype=np.uint32), _unfold(rules.reshape(-1), rules, vocab)])
+    size = np.concatenate([np.ones(vocab, np.int64), lengths.astype(np.int64)])
+    start = np.cumsum(size) - size
     n = size[symbols]
     ends = np.cumsum(n)
     place = np.repeat(start[symbols] - (ends - n), n)
@@ -173,9 +181,8 @@ def _block(part: int, number: int, before: int, doc_ids: list, runs: list[bytes]
     n = np.array([len(r) // 4 for r in runs], np.int64)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(n) - 1] = True
-    sym, last, rules = compress(ids, last, vocab)
+    sym, last, rules, width = compress(ids, last, vocab)
     ends = np.flatnonzero(last) + 1
-    small = vocab + len(rules) <= 1 << 16
     return {
         "part": part,
         "block": number,
@@ -186,8 +193,8 @@ def _block(part: int, number: int, before: int, doc_ids: list, runs: list[bytes]
         "vocab": vocab,
         "rules": rules.astype("<u4").tobytes(),
         "rule_tokens": rule_lengths(rules, vocab).astype("<u4").tobytes(),
-        "symbols": sym.astype("<u2" if small else "<u4").tobytes(),
-        "width": 2 if small else 4,
+        "symbols": sym.astype(f"<u{width}").tobytes(),
+        "width": width,
     }
 
 
@@ -195,7 +202,9 @@ def write_tokens(docs: DataFrame, model_path: str, path: str, end_id: int = 0, b
     """Encode whole texts (null: empty), add ``end_id`` to each, and write blocks in ascending order of the id, nulls first.
 
     Texts are dealt by ranges of (id, text hash), so each part holds a range and parts are in order; equal ids stay in
-    the order of their texts' hashes. A block ends with the document that reaches ``block_tokens``, however long.
+    the order of their texts' hashes. A block ends with the document that reaches ``block_tokens``, however long. Added
+    tokens of the vocabulary in a text are what the library makes of them. Repeated rows are documents of their own, an
+    empty table gives no block, and columns other than the two aren't read, whatever their names.
     """
     with open(model_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -241,14 +250,53 @@ def _encoder(model: str) -> Encoder:
     return _encoders[key]
 
 
-def decode_block(row: dict, only: int | None = None) -> list[np.ndarray]:
-    """The ids of a block's documents; with ``only``, of that one, from its own symbols."""
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-    symbols = np.frombuffer(row["symbols"], "<u2" if row["width"] == 2 else "<u4")
-    ends = np.cumsum(np.asarray(row["n_symbols"], np.int64))
-    if only is not None:
-        return [expand(symbols[ends[only] - row["n_symbols"][only] : ends[only]], rules, row["vocab"])]
-    return np.split(expand(symbols, rules, row["vocab"]), np.cumsum(np.asarray(row["n_tokens"], np.int64))[:-1])
+def _stored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths of their expansions, symbols) of a block."""
+    return np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_tokens"], "<u4"), np.frombuffer(row["symbols"], f"<u{row['width']}")
+
+
+def decode_block(row: dict) -> list[np.ndarray]:
+    """The ids of a block's documents."""
+    rules, lengths, symbols = _stored(row)
+    return np.split(expand(symbols, rules, lengths, row["vocab"]), np.cumsum(np.asarray(row["n_tokens"], np.int64))[:-1])
+
+
+def decode_range(row: dict, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Ids ``start`` to ``stop`` of one of a block's documents: only the symbols that hold them are expanded."""
+    rules, lengths, symbols = _stored(row)
+    end = int(np.asarray(row["n_symbols"][: document + 1], np.int64).sum())
+    own = symbols[end - row["n_symbols"][document] : end]
+    size = np.ones(len(own), np.int64)
+    size[own >= row["vocab"]] = lengths[own[own >= row["vocab"]].astype(np.int64) - row["vocab"]]
+    ends = np.cumsum(size)
+    stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
+    start = max(0, start)
+    if start >= stop:
+        return np.zeros(0, np.uint32)
+    a, b = np.searchsorted(ends, [start, stop - 1], "right")
+    before = int(ends[a] - size[a])
+    return _unfold(own[a : b + 1], rules, row["vocab"])[start - before : stop - before]
+
+
+def read_ranges(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, first, last, ids: tokens ``first`` to ``last`` (exclusive, from 0) of documents, without decoding the rest.
+
+    wanted: (doc_id, first, last). Blocks meet their requests by the ids they hold; a range beyond the document's end is
+    cut there, repeated requests are answered once for each of the document's rows, unknown ids not at all.
+    """
+    files = spark.read.schema(BLOCK_DDL).parquet(path)
+    at = files.select("part", "block", F.posexplode("doc_ids").alias("place", "doc_id")).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")), "doc_id")
+    asked = at.groupBy("part", "block").agg(F.collect_list(F.struct("doc_id", "place", "first", "last")).alias("asked"))
+    ids_type = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("ids", ids_type)])
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                got = [decode_range(row, x["place"], x["first"], x["last"]).astype(np.int32) for x in row["asked"]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in row["asked"]], pa.int64()) for c in ("doc_id", "first", "last")] + [pa.array(got, ids_type)], schema=schema)
+
+    return files.join(asked, ["part", "block"]).mapInArrow(run, "doc_id long, first long, last long, ids array<int>")
 
 
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:

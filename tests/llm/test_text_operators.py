@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from priorforge.llm import line_dedup, queries, sentencepiece_codec, sharding, token_store, url_filter
 
@@ -223,15 +223,47 @@ def test_token_files_edges(spark):
 
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 50, 5000):
-        runs = [rng.integers(0, 6, rng.integers(1, 40)).astype(np.uint32).tobytes() for _ in range(n)]
-        block = token_store._block(0, 0, 0, list(range(n)), runs, 100)
-        assert [x.tobytes() for x in token_store.decode_block(block)] == runs
-        assert token_store.decode_block(block, n // 2)[0].tobytes() == runs[n // 2]
-    assert len(block["symbols"]) < sum(map(len, runs)) / 4
-    rules = np.frombuffer(block["rules"], "<u4").reshape(-1, 2)
-    lengths = np.frombuffer(block["rule_tokens"], "<u4")
-    assert [len(token_store.expand(np.array([100 + k]), rules, 100)) for k in range(len(rules))] == lengths.tolist()
+    for vocab in (100, 65000):  # symbols of 16 and of 32 bits
+        for n in (1, 2, 50, 5000):
+            runs = [rng.integers(0, 6, rng.integers(1, 40)).astype(np.uint32).tobytes() for _ in range(n)]
+            block = token_store._block(0, 0, 0, list(range(n)), runs, vocab)
+            assert [x.tobytes() for x in token_store.decode_block(block)] == runs
+            for d in {0, n // 2, n - 1}:
+                ids = np.frombuffer(runs[d], np.uint32)
+                assert token_store.decode_range(block, d).tobytes() == runs[d]
+                for s in range(-1, len(ids) + 2):
+                    for e in range(-1, len(ids) + 2):
+                        assert token_store.decode_range(block, d, s, e).tolist() == ids[max(0, s) : max(0, e)].tolist()
+        assert block["width"] == (2 if vocab == 100 else 4) and len(block["symbols"]) < sum(map(len, runs)) / (4 if vocab == 100 else 2)
+        rules = np.frombuffer(block["rules"], "<u4").reshape(-1, 2)
+        lengths = np.frombuffer(block["rule_tokens"], "<u4")
+        assert [len(token_store._unfold(np.array([vocab + k]), rules, vocab)) for k in range(len(rules))] == lengths.tolist()
+
+
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(2)
+    ids = np.repeat(rng.integers(0, 50, 4000), 3).astype(np.uint32)
+    last = np.zeros(len(ids), bool)
+    last[-1] = True
+    sym, last, rules, width = token_store.compress(ids, last, 50)
+    pairs = Counter(zip(sym[:-1].tolist(), sym[1:].tolist()))
+    # overlapping occurrences count here, so a run may show a pair a few times more
+    assert max(n for (a, b), n in pairs.items() if a != b) < token_store.RULE_BYTES // width + 2
+    # the first rule round holds the most frequent pair of all
+    first = Counter(zip(ids[:-1].tolist(), ids[1:].tolist())).most_common(1)[0][0]
+    assert list(first) in rules.tolist()
+
+
+def test_ranges_of_tokens(spark):
+    path = token_store.new_path(spark)
+    rows = [(i, t) for i, t in documents()[:40]] + [(3, "a second text of this id")]
+    token_store.write_tokens(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), path, block_tokens=2000)
+    want = {}
+    for r in token_store.read_tokens(spark, path, with_ids=True).collect():
+        want.setdefault(r.doc_id, []).append(r.ids)
+    asked = [(i, 5 * k, 5 * k + 9) for k, (i, _) in enumerate(rows[:20])] + [(3, 0, 10**9), (10**6, 0, 3)]
+    got = token_store.read_ranges(spark, path, spark.createDataFrame(asked, "doc_id long, first long, last long")).collect()
+    assert sorted((r.doc_id, r.first, r.last, r.ids) for r in got) == sorted((i, s, e, ids[s:e]) for i, s, e in asked for ids in want.get(i, []))
 
 
 ALPHABET = ["a", "the", " ", "  ", "\n", "\n\n", "é", "日", "😀", "<|endoftext|>", "\t", "\x00", "\x1c", "\x85", "!", "***", "'s", "'ll", "12", "\xa0", "　", "½", "Ⅷ", "▁", "<s>", "<0x0A>", "—", "”.", "\r"]
@@ -240,17 +272,59 @@ ALPHABET = ["a", "the", " ", "  ", "\n", "\n\n", "é", "日", "😀", "<|endofte
 def test_encoders_equal_the_libraries():
     random.seed(5)
     texts = ["".join(random.choice(ALPHABET) for _ in range(random.randint(0, 25))) for _ in range(3000)]
-    enc = token_store.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
-    assert [np.frombuffer(x, np.uint32).tolist() for x in enc.group(texts)] == [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = token_store.Encoder(open(path).read())
+    assert any("<|endoftext|>" in t for t in texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in enc.group(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     codec = sentencepiece_codec.Codec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     ids, counts, decoded = codec.group(texts)
-    want = codec.lib.encode(texts)
+    want = lib.encode(texts)
     assert np.split(ids, np.cumsum(counts)[:-1])[7].tolist() == want[7]
-    assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == list(map(len, want)) and decoded == codec.lib.decode(want)
+    assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == list(map(len, want)) and decoded == [lib.decode(w) if w else "" for w in want]
     # the heap and the list agree
     assert all([x for x in codec._long(w) if x] == codec._short(w) for w in ("▁internationalisation", "▁" * 9, "abcabcabc", "******"))
 
 
+def test_added_tokens_with_rules_go_to_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    lib.add_tokens([AddedToken("wide", lstrip=True, rstrip=True), AddedToken("alone", single_word=True), "plain"])
+    texts = ["a wide b", "alone", "not_alone alone", " wide  wide", "explain plain", "none"]
+    got = token_store.Encoder(lib.to_str()).group(texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_memos_are_bounded_by_bytes(monkeypatch):
+    """Runs without blanks, each several megabytes long, don't add up in a worker."""
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_BYTES", 1 << 20)
+    random.seed(9)
+    texts = ["".join(random.choice("abcdefghijklmnop日本語") for _ in range(n)) for n in (2_000_000, 300_000, 5)] + ["a b"]
+    enc = token_store.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    codec = sentencepiece_codec.Codec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    for t in texts:
+        assert np.frombuffer(enc.group([t])[0], np.uint32).tolist() == enc.lib.encode(t, add_special_tokens=False).ids
+        assert codec.group([t], 0)[2] == [t]  # checked against the library as a whole
+    for x in (enc, codec):
+        assert x.held <= 1 << 20 and sum(map(len, x.known.values())) <= 1 << 20
+
+
+def test_decoding_reads_the_ids():
+    codec = sentencepiece_codec.Codec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    codec.agenda = lambda part, real=codec.agenda: [*real(part), 300]
+    codec.check = False
+    assert codec.group(["one two"])[2] != ["one two"]
+
+
+def test_wrong_ids_are_noticed():
+    codec = sentencepiece_codec.Codec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    codec.by_parts = False  # as for a vocabulary without places to cut: whole documents are checked
+    codec.group(["one two", "", "three"])
+    codec.known[codec.cut.findall(codec.prefix + "two")[0]] = b"\0\0\0\0"
+    with pytest.raises(RuntimeError):
+        codec.group(["one", "two"])
+
+
 def test_sentencepiece_query(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
