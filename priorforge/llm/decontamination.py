@@ -1,17 +1,18 @@
 """Benchmark passages in documents, by latent semantic retrieval and a check of the word order.
 
 Documents become sequences of the benchmark's words (all other words are one symbol) and are cut into overlapping
-passages. Over the whole corpus, the passages' document frequencies give TF-IDF weights, and a distributed randomised
-SVD of the passage matrix gives a latent space, to which the benchmark's own vectors are added. Passages whose cosine
-with an item is high enough there are candidates (what of a passage lies outside the space counts in its length). That
-serves the items of which any passage with enough words for a finding reaches the cosine; for the others (long ones, and
-those with little weight in the space) every document that has enough of their words is a candidate. The longest common
-subsequence of a candidate and the item decides, and, where that is a paraphrase's, whether the item's last sentence
-(its answer) is there too.
+passages. The corpus' document frequencies give TF-IDF weights, each term scaled by the root of its frequency, so that
+its column in the matrix of all passages has its idf as length: words that come together weigh, not words that come
+often. A distributed randomised SVD of that matrix gives the latent space. Items, cut into pieces of a passage's half,
+are folded in; a passage whose cosine with a piece *in the space* is high enough is a candidate. A piece of which the
+corpus' directions hold too little (its words never came together there) adds its own direction to the space. The
+longest common subsequence of the item and the candidate's surroundings decides, and, where that is a paraphrase's,
+whether the item's last sentence (its answer) is there too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -24,16 +25,25 @@ from .scratch import table
 
 #: A passage is two neighbouring blocks of so many words; each block is in two passages.
 BLOCK = 48
-#: Terms in more of the blocks than this share are left out of the space; they still count as words of the items.
-MAX_SHARE = 0.005
+#: Items are cut into pieces of at most so many words, which always stand whole in some passage.
+PIECE = BLOCK
 #: Leading directions of the corpus, and those drawn on top of them.
-RANK, OVERSAMPLING = 32, 16
-#: Items handled in one pass over the documents; more take more passes.
-ITEMS = 2000
+RANK, OVERSAMPLING = 128, 32
+#: A piece of which the space holds less than this share (of its squared length) adds its direction.
+HELD = 0.5
+#: Items, and words of items, handled in one pass over the documents; more take more passes.
+ITEMS, ITEM_WORDS = 500, 20_000
 #: Cosine of a candidate; share of an item's words in order that marks a copy; the same for a paraphrase, if its weight
 #: (by inverse document frequency) and its answer are there.
 COSINE, COPY, PARAPHRASE, PARAPHRASE_WEIGHT, ANSWER = 0.3, 0.8, 0.6, 0.7, 0.8
+#: Where the usual least finding of a piece (PARAPHRASE of its weight) has a lower cosine in a passage with so many times
+#: the mean squared length, that is its threshold.
+LOUD = 4.0
+#: Share of the least finding's weight that must lie in one passage; what is inserted may push the rest into the next one.
+INSIDE = 0.6
 CHUNK = 64
+#: Cells of the table of a longest common subsequence; longer ones are found by halves.
+TABLE = 1 << 22
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
@@ -114,39 +124,45 @@ def encode(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFra
     return narrow.mapInArrow(run, "doc_id long, h long, ids binary, term int, n long")
 
 
-def _passages(raw: list[bytes], idf: np.ndarray):
-    """(words, places, documents, passage rows): TF-IDF rows (unit length) of all passages that hold a term of the space.
-
-    Returns ids, start of each document, and CSR arrays: passage (document, first block), row starts, terms, weights.
-    """
-    lens = np.array([len(r) // 4 for r in raw])
-    ids = np.frombuffer(b"".join(raw), np.int32)
-    first = np.cumsum(lens) - lens
-    doc = np.repeat(np.arange(len(raw)), lens)
-    on = np.flatnonzero((ids >= 0) & (idf[np.maximum(ids, 0)] > 0)) if len(ids) else np.zeros(0, np.int64)
-    d, b = doc[on], (on - first[doc[on]]) // BLOCK
-    # block b belongs to the passages that begin at b and at b - 1
-    key_doc, key_b, term = np.concatenate([d, d[b > 0]]), np.concatenate([b, b[b > 0] - 1]), np.concatenate([ids[on], ids[on][b > 0]])
-    wide = int(lens.max(initial=0)) // BLOCK + 2
-    passage = key_doc.astype(np.int64) * wide + key_b
-    cell, tf = np.unique(passage * len(idf) + term, return_counts=True)
-    row, term = cell // len(idf), cell % len(idf)
-    weight = ((1 + np.log(tf)) * idf[term]).astype(np.float32)
-    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    if len(row):
-        norm = np.sqrt(np.add.reduceat(weight * weight, start))
-        weight /= np.repeat(norm, np.diff(np.append(start, len(row))))
-    at = row[start]
-    return ids, first, lens, np.stack([at // wide, at % wide], 1), start, term, weight
-
-
-def _project(basis: np.ndarray, start: np.ndarray, term: np.ndarray, weight: np.ndarray, step: int = 4096):
-    """Rows of the passage matrix times ``basis``, some rows at a time: (first row, product)."""
-    ends = np.append(start, len(term))
-    for s in range(0, len(start), step):
-        e = min(s + step, len(start))
-        lo, hi = ends[s], ends[e]
-        yield s, np.add.reduceat(basis[term[lo:hi]] * weight[lo:hi, None], start[s:e] - lo, axis=0)
+class Passages:
+    """The known words of some documents by block, and the passages: blocks b and b + 1 of one document, for every b."""
+
+    def __init__(self, raw: list[bytes]):
+        self.lens = np.array([len(r) // 4 for r in raw])
+        self.ids = np.frombuffer(b"".join(raw), np.int32)
+        self.first = np.cumsum(self.lens) - self.lens
+        count = -(-self.lens // BLOCK)
+        begin = np.cumsum(count) - count
+        n = int(count.sum())
+        self.doc = np.repeat(np.arange(len(raw)), count)
+        self.number = np.arange(n) - begin[self.doc]
+        self.paired = np.concatenate([self.doc[1:] == self.doc[:-1], np.zeros(min(1, n), bool)])
+        on = np.flatnonzero(self.ids >= 0)
+        d = np.repeat(np.arange(len(raw)), self.lens)[on]
+        self.term = self.ids[on]
+        self.block = begin[d] + (on - self.first[d]) // BLOCK
+        #: where each block's words begin, and their end
+        self.start = np.searchsorted(self.block, np.arange(n + 1))
+
+    def project(self, table: np.ndarray, s: int, e: int) -> np.ndarray:
+        """Sums of the rows of ``table`` of the words of blocks s to e."""
+        out = np.zeros((e - s, table.shape[1]), table.dtype)
+        lo, hi = self.start[s], self.start[e]
+        full = np.flatnonzero(self.start[s + 1 : e + 1] > self.start[s:e])
+        if len(full):
+            out[full] = np.add.reduceat(table[self.term[lo:hi]], self.start[s:e][full] - lo, axis=0)
+        return out
+
+    def products(self, table: np.ndarray, step: int = 512):
+        """(first passage, sums of ``table`` over the words of that passage and the following ones), some at a time."""
+        n = len(self.doc)
+        for s in range(0, n, step):
+            e = min(s + step, n)
+            y = self.project(table, s, min(e + 1, n))
+            z = y[: e - s].copy()
+            on = np.flatnonzero(self.paired[s:e])
+            z[on] += y[on + 1]
+            yield s, z
 
 
 def _some(raw: list[bytes], limit: int = 1 << 20):
@@ -161,32 +177,41 @@ def _some(raw: list[bytes], limit: int = 1 << 20):
         yield s, len(raw)
 
 
-def corpus_directions(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, oversampling: int = OVERSAMPLING, seed: int = 17) -> np.ndarray:
-    """Leading right singular vectors (columns) of the matrix A of all passages: a randomised SVD in one pass.
+def corpus_directions(encoded: DataFrame, scale: np.ndarray, rank: int = RANK, oversampling: int = OVERSAMPLING, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors (columns) and squared singular values of the matrix A of all passages: a randomised SVD in one pass.
 
-    Tasks sum their rows' part of A'(A W) for a random W; the sums are added up in chunks of terms on the executors.
-    The driver gets a number for each term of the benchmark and column, and takes the Nystrom form of A'A from it.
+    A row of A has the counts of a passage's words times ``scale``. Tasks sum their rows' part of A'(A W) for a random W;
+    the sums are added up in chunks of terms on the executors. The driver gets a number for each term of the benchmark and
+    column, and takes the Nystrom form of A'A from it.
     """
-    n, k = len(idf), min(len(idf), rank + oversampling)
+    n, k = len(scale), min(len(scale), rank + oversampling)
     w = np.random.default_rng(seed).standard_normal((n, k)).astype(np.float32)
-    sent = encoded.sparkSession.sparkContext.broadcast((idf, w))
+    sent = encoded.sparkSession.sparkContext.broadcast((scale, w))
     schema = pa.schema([("chunk", pa.int32()), ("part", pa.binary())])
 
     def run(batches):
-        idf, w = sent.value
+        scale, w = sent.value
+        w = w * scale[:, None].astype(np.float32)
         total = np.zeros((n, k), np.float64)
         for b in slices(batches):
             raw = b.column(0).to_pylist()
             for s, e in _some(raw):
-                _, _, _, _, start, term, weight = _passages(raw[s:e], idf)
-                ends = np.append(start, len(term))
-                for r, y in _project(w, start, term, weight):
-                    lo, hi = ends[r], ends[r + len(y)]
-                    add = np.repeat(y, np.diff(ends[r : r + len(y) + 1]), axis=0) * weight[lo:hi, None]
-                    order = np.argsort(term[lo:hi], kind="stable")
-                    t = term[lo:hi][order]
-                    head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                    total[t[head]] += np.add.reduceat(add[order], head, axis=0)
+                p = Passages(raw[s:e])
+                before = np.zeros(k, np.float32)
+                for r, z in p.products(w):
+                    # a block is in its own passage and in the one before it
+                    own = z.copy()
+                    own[1:] += np.where(p.paired[r : r + len(z) - 1, None], z[:-1], 0)
+                    if r and p.paired[r - 1]:
+                        own[0] += before
+                    before = z[-1]
+                    lo, hi = p.start[r], p.start[r + len(z)]
+                    order = np.argsort(p.term[lo:hi], kind="stable")
+                    t = p.term[lo:hi][order]
+                    if len(t):
+                        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                        total[t[head]] += np.add.reduceat(own[p.block[lo:hi][order] - r], head, axis=0)
+        total *= scale[:, None]
         parts = [(c, total[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-n // CHUNK))]
         parts = [(c, p.tobytes()) for c, p in parts if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], schema=schema)
@@ -205,18 +230,102 @@ def corpus_directions(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, ove
         y[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(p).reshape(-1, k)
     size = np.linalg.norm(y)
     if not size:
-        return np.zeros((n, 0))
+        return np.zeros((n, 0)), np.zeros(0)
     shift = 1e-7 * size
     y = y + shift * w
     core = w.T.astype(float) @ y
     left = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * size * np.eye(k))
     u, s, _ = np.linalg.svd(np.linalg.solve(left, y.T).T, full_matrices=False)
-    return u[:, : min(rank, int((s * s > shift).sum()))]
+    keep = min(rank, int((s * s > shift).sum()))
+    return u[:, :keep], s[:keep] ** 2 - shift
 
 
-def _lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float, list[int]]:
-    """A longest common subsequence of item ``a`` and passage ``b``: its length, its words' weight, its places in ``a``."""
+class Space:
+    """The latent space with a block of items folded in.
+
+    words: of each piece; item, offset: where it stands; basis: the corpus' directions and those that pieces add;
+    latent: unit vectors of the pieces in it; least: the cosine from which a passage is a candidate of the piece;
+    weight: of a term in the check; inside, table: the weight that a candidate shares with the piece at least, and the
+    weight of each term in it.
+    """
+
+    def __init__(self, items: Items, scale: np.ndarray, weight: np.ndarray, df: np.ndarray, blocks: int, directions: np.ndarray, power: np.ndarray, cosine: float = COSINE, update: bool = True):
+        """df: blocks that hold a term, of ``blocks``; directions, power: of :func:`corpus_directions`."""
+        self.words, self.item, self.offset = [], [], []
+        for k, w in enumerate(items.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // PIECE) + 1).astype(int)
+            for s, e in zip(cuts, cuts[1:]):
+                self.words.append(w[s:e])
+                self.item.append(k)
+                self.offset.append(int(s))
+        n, m = len(scale), len(self.words)
+        self.scale, self.weight = scale.astype(np.float32), weight
+        self.table = np.zeros((m, n), np.float32)
+        for k, w in enumerate(self.words):
+            np.add.at(self.table[k], w, 1)
+        rows = self.table * self.scale
+        size = np.maximum(np.linalg.norm(rows, axis=1), 1e-30)
+        rows /= size[:, None]
+        basis = directions.astype(np.float32)
+        z = rows @ basis
+        self.held = (z * z).sum(1)
+        few = np.flatnonzero(self.held < HELD) if update else np.zeros(0, np.int64)
+        energy = float(power.sum()) / max(1, blocks)  # mean squared length of a passage in the space
+        if len(few):
+            rest = rows[few] - z[few] @ basis.T
+            u, s, _ = np.linalg.svd(rest.T, full_matrices=False)
+            u = u[:, s > 1e-3 * max(1e-30, float(s.max()))].astype(np.float32)
+            basis = np.concatenate([basis, u], 1)
+            z = rows @ basis
+            energy += 2 * float((u * u).sum(1) @ (scale**2 * df)) / max(1, blocks)  # words apart from each other
+        self.basis = basis
+        self.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        self.least, self.inside = np.zeros(m, np.float32), np.zeros(m, np.float32)
+        for k, w in enumerate(self.words):
+            gain = PARAPHRASE * float((self.scale[w] * (basis[w] @ self.latent[k])).sum())
+            self.least[k] = min(cosine, gain / math.sqrt(gain * gain + LOUD * energy)) if gain > 0 else cosine
+            light = np.sort(weight[w])
+            self.inside[k] = INSIDE * min(PARAPHRASE_WEIGHT * light.sum(), light[: int(np.ceil(COPY * len(w)))].sum())
+        self.table = np.where(self.table > 0, weight.astype(np.float32), 0)
+
+    def candidates(self, p: Passages):
+        """(passages, pieces) whose cosine in the space is a candidate's and that share enough weight."""
+        table = self.basis * self.scale[:, None]
+        for r, z in p.products(table):
+            product = z @ self.latent.T
+            x, k = np.nonzero(product >= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None] * self.least)
+            for s in range(0, len(x), 4096):
+                a, b = x[s : s + 4096] + r, k[s : s + 4096]
+                e = np.where(p.paired[a], a + 2, a + 1)
+                lens = p.start[e] - p.start[a]
+                ok = lens > 0
+                a, b, lens = a[ok], b[ok], lens[ok]
+                if not len(a):
+                    continue
+                ends = np.cumsum(lens)
+                at = np.arange(ends[-1]) + np.repeat(p.start[a] - (ends - lens), lens)
+                shared = np.add.reduceat(self.table[np.repeat(b, lens), p.term[at]], ends - lens)
+                good = shared >= self.inside[b] - 1e-4
+                yield a[good], b[good]
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of ``a`` with every beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _places(a: np.ndarray, b: np.ndarray, at: int = 0) -> list[int]:
+    """Places in ``a`` of a longest common subsequence; by halves of ``a`` where the table would be large."""
     n, m = len(a), len(b)
+    if not n or not m:
+        return []
+    if n > 1 and n * m > TABLE:
+        mid = n // 2
+        cut = int((_lengths(a[:mid], b) + _lengths(a[mid:][::-1], b[::-1])[::-1]).argmax())
+        return _places(a[:mid], b[:cut], at) + _places(a[mid:], b[cut:], at + mid)
     best = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n):
         hit = np.where(b == a[i], best[i, :-1] + 1, best[i, 1:])
@@ -229,150 +338,136 @@ def _lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float,
             j -= 1
         else:
             i, j = i - 1, j - 1
-            got.append(i)
+            got.append(at + i)
+    return got[::-1]
+
+
+def _lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float, list[int]]:
+    """A longest common subsequence of item ``a`` and passage ``b``: its length, its words' weight, its places in ``a``."""
+    got = _places(a, b)
     return len(got), float(weight[a[got]].sum()) if got else 0.0, got
 
 
-def _sure(items: Items, idf: np.ndarray, cosine: float) -> np.ndarray:
-    """Whether every passage that can be a finding of the item has at least that cosine with it.
+def item_share(item: np.ndarray, tail: int, seq: np.ndarray, weight: np.ndarray) -> float:
+    """The share of an item's words that ``seq`` has in order, if that makes a finding; else 0. ``tail``: words of its answer."""
+    seq = seq[seq >= 0]
+    here = np.isin(item, seq)
+    total = weight[item].sum()
+    if here.mean() < PARAPHRASE or (here.mean() < COPY and weight[item[here]].sum() < PARAPHRASE_WEIGHT * total):
+        return 0.0
+    size, heavy, got = _lcs(item, seq, weight)
+    share = size / len(item)
+    if share >= COPY:
+        return share
+    if share >= PARAPHRASE and heavy >= PARAPHRASE_WEIGHT * total and sum(g >= len(item) - tail for g in got) >= ANSWER * tail:
+        return share
+    return 0.0
 
-    The least case: the heaviest 1 - PARAPHRASE of the item's words are missing, and all other words of the passage are
-    different ones of the greatest weight that the item doesn't have. Longer items may lie across passages.
-    """
-    out = np.zeros(len(items.words), bool)
-    for k, w in enumerate(items.words):
-        if len(w) + len(w) // 2 > BLOCK:
-            continue
-        kept = np.sort(idf[w])[: int(np.ceil(PARAPHRASE * len(w)))]
-        _, tf = np.unique(w, return_counts=True)
-        whole = (1 + np.log(tf)) * idf[np.unique(w)]
-        # of a repeated word one may be left: each kept word counts once, by its weight without repetition
-        left = np.sort(idf[np.unique(w)])[: max(0, len(tf) - (len(w) - len(kept)))]
-        most = (left @ left) + (2 * BLOCK - len(left)) * idf.max(initial=0) ** 2
-        out[k] = left @ left > 0 and (left @ left) >= cosine * np.linalg.norm(whole) * np.sqrt(most)
-    return out
-
-
-def _holders(ids: np.ndarray, first: np.ndarray, lens: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, weight: np.ndarray, heavy: np.ndarray):
-    """(document, item) of all documents with enough of an item's words, in any order, for a finding.
-
-    counts: of each item the words and how often it has them; sizes, heavy: its words and their weight, summed.
+
+def _surroundings(block: int, offset: int, piece: int, item: int, length: int) -> tuple[int, int]:
+    """The words of a document of ``length`` that may belong to the item, if a piece of it is in the passage at ``block``.
+
+    Between the item's words half as many others may stand. Neighbouring places of a long item are taken together.
     """
-    doc = np.repeat(np.arange(len(lens)), lens)
-    cell = np.unique(doc[ids >= 0] * len(weight) + ids[ids >= 0])
-    d, term = cell // len(weight), cell % len(weight)
-    if not len(d):
-        return
-    start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    for s in range(0, len(counts), 64):
-        some = np.zeros((len(weight), len(counts[s : s + 64])), np.float32)
-        for k, (t, tf) in enumerate(counts[s : s + 64]):
-            some[t, k] = tf
-        ends = np.append(start, len(d))
-        for a in range(0, len(start), 256):
-            b = min(a + 256, len(start))
-            lo, hi = ends[a], ends[b]
-            rows = some[term[lo:hi]]
-            n = np.add.reduceat(rows, start[a:b] - lo, axis=0) / sizes[s : s + 64]
-            w = np.add.reduceat(rows * weight[term[lo:hi], None], start[a:b] - lo, axis=0) / heavy[s : s + 64]
-            x, k = np.nonzero((n >= COPY - 1e-4) | ((n >= PARAPHRASE - 1e-4) & (w >= PARAPHRASE_WEIGHT - 1e-4)))
-            yield from zip(d[start[a + x]].tolist(), (k + s).tolist())
-
-
-def search(encoded: DataFrame, items: Items, idf: np.ndarray, weight: np.ndarray, directions: np.ndarray, cosine: float = COSINE) -> DataFrame:
+    spare = max(0, piece + piece // 2 - BLOCK)
+    lo = block * BLOCK - offset - offset // 2 - spare
+    rest = item - offset - piece
+    hi = (block + 2) * BLOCK + rest + rest // 2 + spare
+    if item > PIECE:
+        step = max(BLOCK, item // 4)
+        lo, hi = lo // step * step, -(-hi // step) * step
+    return max(0, lo), min(length, hi)
+
+
+def search(encoded: DataFrame, items: Items, space: Space) -> DataFrame:
     """(doc_id, h, found): for every document the items it holds and the share of their words, as an array of structs."""
-    n = len(items.vocab)
-    rows = np.zeros((len(items.ids), n))
-    for k, w in enumerate(items.words):
-        term, tf = np.unique(w, return_counts=True)
-        rows[k, term] = (1 + np.log(tf)) * idf[term]
-    length = np.linalg.norm(rows, axis=1)
-    # items that their vector may not retrieve are held against every document with enough of their words
-    bare = np.flatnonzero(~_sure(items, idf, cosine))
-    counts = [np.unique(items.words[k], return_counts=True) for k in bare]
-    sizes, heavy_all = np.array([len(items.words[k]) for k in bare]), np.array([weight[items.words[k]].sum() for k in bare])
-    rows /= np.maximum(length, 1e-12)[:, None]
-    q = np.linalg.svd(np.concatenate([directions, rows.T], 1), full_matrices=False)
-    basis = q[0][:, q[1] > 1e-6].astype(np.float32)
-    latent = (rows @ basis).astype(np.float32)
-    latent[bare] = 0
-    sent = encoded.sparkSession.sparkContext.broadcast((idf, weight, basis, latent, items.words, items.answer, items.ids, bare, counts, sizes, heavy_all))
+    sent = encoded.sparkSession.sparkContext.broadcast((space, items.words, items.answer, items.ids))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("found", kind)])
 
     def run(batches):
-        idf, weight, basis, latent, words, answer, names, bare, counts, sizes, heavy_all = sent.value
+        space, words, answer, names = sent.value
         for b in slices(batches):
             raw = b.column(2).to_pylist()
             found: list[dict[int, float]] = [{} for _ in raw]
             for s, e in _some(raw):
-                ids, first, lens, at, start, term, w = _passages(raw[s:e], idf)
-                todo = []
-                for r, z in _project(basis, start, term, w):
-                    p, k = np.nonzero(z @ latent.T >= cosine)
-                    todo.append(np.stack([p + r, k], 1))
-                pairs = [(int(at[p, 0]), int(at[p, 1]), int(k)) for p, k in np.concatenate(todo).tolist()] if todo else []
-                if len(bare):
-                    more = _holders(ids, first, lens, counts, sizes, weight, heavy_all)
-                    pairs += [(d, blk, int(bare[k])) for d, k in more for blk in range(max(1, -(-int(lens[d]) // BLOCK)))]
-                seen = None
-                for d, blk, k in pairs:
-                    item = words[k]
-                    if found[s + d].get(k, 0.0) >= 1.0:
-                        continue
-                    # room for items longer than a block on either side
-                    spare = max(0, len(item) + len(item) // 2 - BLOCK)
-                    lo, hi = max(0, blk * BLOCK - spare), min(int(lens[d]), (blk + 2) * BLOCK + spare)
-                    if seen == (d, k, lo, hi):
-                        continue
-                    seen = d, k, lo, hi
-                    seq = ids[first[d] + lo : first[d] + hi]
-                    seq = seq[seq >= 0]
-                    if np.isin(item, seq).mean() < PARAPHRASE:
-                        continue
-                    size, heavy, got = _lcs(item, seq, weight)
-                    share = size / len(item)
-                    tail = answer[k]
-                    ok = share >= COPY
-                    if not ok and share >= PARAPHRASE and heavy >= PARAPHRASE_WEIGHT * weight[item].sum():
-                        ok = sum(g >= len(item) - tail for g in got) >= ANSWER * tail
-                    if ok:
-                        found[s + d][k] = max(share, found[s + d].get(k, 0.0))
-            out = [[{"item_id": names[k], "share": v} for k, v in sorted(f.items(), key=lambda x: names[x[0]])] for f in found]
+                p, seen = Passages(raw[s:e]), set()
+                for passage, piece in space.candidates(p):
+                    for a, j in zip(passage.tolist(), piece.tolist()):
+                        d, k = int(p.doc[a]), space.item[j]
+                        lo, hi = _surroundings(int(p.number[a]), space.offset[j], len(space.words[j]), len(words[k]), int(p.lens[d]))
+                        if (d, k, lo, hi) in seen or found[s + d].get(k, 0.0) >= 1.0:
+                            continue
+                        seen.add((d, k, lo, hi))
+                        share = item_share(words[k], answer[k], p.ids[p.first[d] + lo : p.first[d] + hi], space.weight)
+                        if share:
+                            found[s + d][k] = max(share, found[s + d].get(k, 0.0))
+            out = [[{"item_id": names[k], "share": v} for k, v in sorted(f.items(), key=lambda x: (names[x[0]] is None, names[x[0]] or 0))] for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], schema=schema)
 
     return encoded.select("doc_id", "h", "ids").mapInArrow(run, "doc_id long, h long, found array<struct<item_id:long,share:double>>")
 
 
+def _item_blocks(benchmark: DataFrame, item_col: str, item_text: str):
+    """Blocks of ITEMS items and ITEM_WORDS words (about; an item isn't split), in the order of the ids; one block at a time is on the driver."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).orderBy(F.col("i").asc_nulls_last(), "t")
+    held, size = [], 0
+    for r in rows.toLocalIterator():
+        n = len((r.t or "").split())
+        if held and (len(held) >= ITEMS or size + n > ITEM_WORDS):
+            yield held
+            held, size = [], 0
+        held.append((r.i, r.t))
+        size += n
+    yield held
+
+
+def fit(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> tuple[DataFrame, Space]:
+    """The encoded documents and the space of a block of items: frequencies and directions of the whole corpus."""
+    both = table(encode(docs, items, id_col, text_col), "encoded")
+    counts = dict(both.filter("term is not null").groupBy("term").agg(F.sum("n")).collect())
+    blocks = counts.pop(-1, 0)
+    df = np.zeros(len(items.vocab))
+    df[list(counts)] = list(counts.values())
+    weight = np.log((1 + blocks) / (1 + df)) + 1e-3
+    scale = weight / np.sqrt(1 + df)
+    encoded = both.filter("term is null")
+    return encoded, Space(items, scale, weight, df, blocks, *corpus_directions(encoded, scale, rank))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, h (hash of the text), contaminated, found (items and the share of their words in order), for every document.
 
     An item is found if at least COPY of its words stand in the passage in order, or PARAPHRASE of them with
     PARAPHRASE_WEIGHT of their weight and ANSWER of its last sentence. Case and marks at words' ends don't count. Null and
-    empty texts hold nothing; items without words are never found; repeated rows and items are judged alike. The benchmark
-    is a stated query set: it goes through in blocks of ITEMS items, each a pass over the documents.
+    empty texts hold nothing; items without words are never found; repeated rows and items are judged alike, each of them
+    by itself. Very long texts and items are cut into passages and pieces, none is left out. Of several places of an item
+    the greatest share counts; a share at a threshold is a finding. Other columns aren't read, whatever their names. The
+    benchmark is a stated query set: it goes through in blocks of ITEMS items, each a pass over the documents.
     """
-    rows = sorted(((r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-    out, parts = None, 0
-    for s in range(0, max(1, len(rows)), ITEMS):
-        items = Items(rows[s : s + ITEMS])
-        if not items.ids:
-            part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.array().cast("array<struct<item_id:long,share:double>>").alias("found"))
+    kind = "array<struct<item_id:long,share:double>>"
+    parts = []
+    for rows in _item_blocks(benchmark, item_col, item_text):
+        items = Items(rows)
+        if items.ids:
+            parts.append(search(*_searched(docs, items, id_col, text_col)))
+    if len(parts) == 1:
+        out = parts[0]
+    else:
+        # one row for each of docs: what is found goes back to the rows by id and text
+        out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"))
+        hits = None
+        for p in parts:
+            some = p.filter(F.size("found") > 0).select(F.col("doc_id").alias("i"), F.col("h").alias("t"), F.explode("found").alias("x"))
+            hits = some if hits is None else hits.unionByName(some)
+        if hits is None:
+            out = out.withColumn("found", F.array().cast(kind))
         else:
-            both = table(encode(docs, items, id_col, text_col), "encoded")
-            counts = dict(both.filter("term is not null").groupBy("term").agg(F.sum("n")).collect())
-            blocks = counts.pop(-1, 0)
-            df = np.zeros(len(items.vocab))
-            df[list(counts)] = list(counts.values())
-            weight = np.log((1 + blocks) / (1 + df)) + 1e-3
-            idf = np.where(df <= MAX_SHARE * blocks, weight, 0.0)
-            encoded = both.filter("term is null")
-            part = search(encoded, items, idf, weight, corpus_directions(encoded, idf))
-        out = part if out is None else out.unionByName(part)
-        parts += 1
-    if parts > 1:
-        # one row for each of docs, as with one block: what is found goes back to the rows by id and text
-        merged = out.groupBy(F.col("doc_id").alias("i"), F.col("h").alias("t")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"))
-        out = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t"))).select("doc_id", "h", "found")
+            merged = hits.distinct().groupBy("i", "t").agg(F.array_sort(F.collect_list("x")).alias("x"))
+            out = out.join(merged, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")), "left").select("doc_id", "h", F.coalesce("x", F.array().cast(kind)).alias("found"))
     return out.select("doc_id", "h", (F.size("found") > 0).alias("contaminated"), "found")
+
+
+def _searched(docs: DataFrame, items: Items, id_col: str, text_col: str) -> tuple[DataFrame, Items, Space]:
+    encoded, space = fit(docs, items, id_col, text_col)
+    return encoded, items, space

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 
 import corpus_pipeline
 from priorforge.llm import decontamination, resemblance
@@ -64,7 +65,7 @@ def test_long_items_and_items_of_frequent_words_are_found(spark):
     random.seed(8)
     words = [f"w{k}" for k in range(20000)]
     frequent = [f"f{k}" for k in range(40)]
-    items = [(k, " ".join(random.sample(words, 1500)) + ".") for k in range(8)]
+    items = [(k, " ".join(random.sample(words, (600, 1500, 3000)[k % 3])) + ".") for k in range(8)]
     # two words of these are rare at most, the others stand in most documents
     items += [(10 + k, " ".join(random.sample(frequent, 28) + random.sample(words, k)) + ".") for k in range(3)]
     rows, want = [], {}
@@ -82,6 +83,84 @@ def test_long_items_and_items_of_frequent_words_are_found(spark):
     assert {r.doc_id: sorted(x.item_id for x in r.found) for r in got} == want
 
 
+def planted(sf, seed, n):
+    """Documents with ``n`` copies of items in which up to 40 % of the words are replaced and others are put between them."""
+    random.seed(seed)
+    con = duckdb.connect()
+    bench = con.sql(f"select item_id, text from '{sf}/benchmark.parquet' order by 1").fetchall()
+    rows = con.sql(f"select doc_id, text from '{sf}/documents.parquet' where text is not null order by 1").fetchall()
+    pool = [w for _, t in rows[:100] for w in t.split()]
+    for _ in range(n):
+        i, (_, item) = random.randrange(len(rows)), random.choice(bench)
+        body, keep, more = rows[i][1].split(), random.uniform(0.55, 1), random.choice([0, 0, 0.1, 0.3])
+        copy = [x for w in item.split() for x in ([w if random.random() < keep else random.choice(pool)] + [random.choice(pool)] * (random.random() < more))]
+        at = random.randint(0, len(body))
+        body[at:at] = copy
+        rows[i] = (rows[i][0], " ".join(body))
+    return rows, bench
+
+
+def test_retrieval_recall_against_every_passage(spark):
+    """Every document and item that a longest common subsequence with any passage would find, by the corpus' space alone too."""
+    rows, bench = planted("/root/testdata/sf0.001", 5, 160)
+    items = decontamination.Items(bench)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encoded, space = decontamination.fit(docs, items)
+    raw = [(r.doc_id, bytes(r.ids)) for r in encoded.select("doc_id", "ids").collect()]
+    p = decontamination.Passages([x for _, x in raw])
+    want = set()
+    for a in range(len(p.doc)):
+        d = int(p.doc[a])
+        for k, w in enumerate(items.words):
+            spare = max(0, len(w) + len(w) // 2 - decontamination.BLOCK)
+            lo, hi = max(0, int(p.number[a]) * decontamination.BLOCK - spare), (int(p.number[a]) + 2) * decontamination.BLOCK + spare
+            if decontamination.item_share(w, items.answer[k], p.ids[p.first[d] : p.first[d] + p.lens[d]][lo:hi], space.weight):
+                want.add((raw[d][0], items.ids[k]))
+    assert len(want) > 60
+    directions = space.basis[:, : min(space.basis.shape[1], decontamination.RANK)]
+    blocks = len(p.doc)
+    df = np.exp(-(space.weight - 1e-3)) * (1 + blocks) - 1
+    make = lambda v: decontamination.Space(items, space.scale, space.weight, df, blocks, v, np.zeros(v.shape[1]), update=False)
+    for s, least in ((space, 0.97), (make(directions), 0.9)):
+        got = {(r.doc_id, x.item_id) for r in decontamination.search(encoded, items, s).collect() for x in r.found}
+        assert len(got & want) >= least * len(want) and not got - want
+    # without the corpus' directions there is no space, and nothing is retrieved; with other ones the candidates change
+    assert not any(r.found for r in decontamination.search(encoded, items, make(directions[:, :0])).collect())
+    turned = np.linalg.qr(np.random.default_rng(1).standard_normal(directions.shape))[0]
+    pairs = [{(int(a), int(b)) for x, y in s.candidates(p) for a, b in zip(x, y)} for s in (make(directions), make(turned))]
+    assert pairs[0] != pairs[1]
+
+
+def test_other_words_are_retrieved_through_the_space(spark):
+    """Words of one subject stand together in the corpus: a passage without any word of the item has a high cosine with it."""
+    random.seed(1)
+    subjects = [[f"s{k}w{j}" for j in range(20)] for k in range(12)]
+    rows = [(i, " ".join(random.choices(subjects[i % 12], k=96))) for i in range(600)]
+    items = decontamination.Items([(2 * k + h, " ".join(s[10 * h : 10 * h + 10])) for k, s in enumerate(subjects) for h in (0, 1)])
+    _, space = decontamination.fit(spark.createDataFrame(rows, "doc_id long, text string"), items, rank=12)
+    n = len(items.ids)
+    rest = decontamination.Passages([items.words[j].astype(np.int32).tobytes() for j in range(n)])
+    z = np.concatenate([z for _, z in rest.products(space.basis * space.scale[:, None])])
+    cosine = z @ space.latent.T / np.linalg.norm(z, axis=1)[:, None]
+    for j in range(n):
+        assert not set(items.words[j].tolist()) & set(items.words[j ^ 1].tolist())
+        assert cosine[j, j ^ 1] >= 0.8 and all(cosine[j, i] < decontamination.COSINE for i in range(n) if i not in (j, j ^ 1))
+
+
+def test_subsequences_by_halves(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        a, b = rng.integers(0, 5, rng.integers(1, 40)), rng.integers(0, 5, rng.integers(0, 60))
+        whole = decontamination._places(a, b)
+        monkeypatch.setattr(decontamination, "TABLE", 4)
+        parts = decontamination._places(a, b)
+        monkeypatch.undo()
+        assert len(whole) == len(parts) == decontamination._lengths(a, b)[-1] and parts == sorted(set(parts))
+        at = 0
+        for x in a[parts]:  # it is a subsequence of b
+            at = b.tolist().index(x, at) + 1
+
+
 def test_repeated_rows_stay_with_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEMS", 2)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(5)]
