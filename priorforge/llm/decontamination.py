@@ -30,7 +30,7 @@ PIECE = BLOCK
 #: Leading directions of the corpus, and those drawn on top of them.
 RANK, OVERSAMPLING = 128, 32
 #: A piece of which the space holds less than this share (of its squared length) adds its direction.
-HELD = 0.5
+HELD = 0.3
 #: Items, and words of items, handled in one pass over the documents; more take more passes.
 ITEMS, ITEM_WORDS = 500, 20_000
 #: Cosine of a candidate; share of an item's words in order that marks a copy; the same for a paraphrase, if its weight

@@ -24,7 +24,7 @@ from .arrow_text import GROUP_BYTES
 
 BLANK = "▁"
 #: Bytes of the parts that a worker keeps (with what Python needs for each); beyond, it starts anew.
-KEPT_BYTES, ENTRY_BYTES = 144 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 128 << 20, 150
 #: Up to so many characters the agenda is a plain list.
 SHORT = 48
 
@@ -140,7 +140,7 @@ class Codec:
         if self.check and self.by_parts:
             self._compare(parts, got)
         raw = [array("i", a).tobytes() for a in got]
-        self.held = kept(self.known, self.held, parts, raw)
+        self.held = kept(self.known, self.held, parts, raw, KEPT_BYTES)
 
     def _compare(self, parts: list[str], got: list[list[int]]) -> None:
         """The library's ids of all new parts, set in one text with line ends between them, which are parts of their own."""
@@ -176,10 +176,10 @@ class Codec:
         return self.lib.decode(ids) if ids else ""
 
 
-def kept(known: dict, held: int, keys: list, values: list[bytes]) -> int:
-    """Put new entries into a memo that starts anew beyond KEPT_BYTES; what it holds now."""
-    size = sum(ENTRY_BYTES + len(k) + len(v) for k, v in zip(keys, values))
-    if held + size > KEPT_BYTES:
+def kept(known: dict, held: int, keys: list, values: list[bytes], limit: int) -> int:
+    """Put new entries into a memo that starts anew beyond ``limit`` bytes; what it holds now."""
+    size = ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+    if held + size > limit:
         known.clear()
         held = 0
     known.update(zip(keys, values))

@@ -28,11 +28,15 @@ from .sentencepiece_codec import kept, look_up, text_groups
 PARTS = re.compile(r" ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~\s]|$)| ?\S+|\s+(?!\S)|\s+")
 #: White space to re, but not to the tokenizer.
 ODD = "[\x1c-\x1f]"
+#: Bytes of the parts that a worker keeps; beyond, it starts anew.
+KEPT_BYTES = 256 << 20
 BLOCK_TOKENS = 1 << 21
 #: A round gives rules to the pairs that are at least this share as frequent as the most frequent one.
 SHARE = 0.1
 #: Bytes of a rule in a block: its pair and its length.
 RULE_BYTES = 12
+#: Slots of the table that names the pairs of a round, as a power of two.
+SLOT_BITS = 20
 #: Vocabularies that leave fewer numbers than this below 2^16 use 32-bit symbols.
 LEAST_FREE = 1024
 BLOCK_DDL = "part int, block int, before long, doc_ids array<long>, n_tokens array<long>, n_symbols array<long>, vocab long, rules binary, rule_tokens binary, symbols binary, width int"
@@ -74,7 +78,7 @@ class Encoder:
         if rest := [p for p in parts if p not in known]:
             for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
                 known[p] = np.array(e.ids, np.uint32).tobytes()
-        self.held = kept(self.known, self.held, list(known), list(known.values()))
+        self.held = kept(self.known, self.held, list(known), list(known.values()), KEPT_BYTES)
 
     def group(self, texts: list[str]) -> list[bytes]:
         flat, ends = [], [0]
@@ -100,16 +104,20 @@ def compress(ids: np.ndarray, last: np.ndarray, vocab: int, share: float = SHARE
     """
     width = 2 if vocab + LEAST_FREE <= 1 << 16 else 4
     limit, least = (1 << 8 * width) - vocab, RULE_BYTES // width + 2
-    word = np.dtype(f"u{2 * width}")
+    word = np.dtype(f"u{2 * width}").type
+    half, none = word(8 * width), word((1 << 16 * width) - 1)
+    spread, down = word(0x9E3779B97F4A7C15 >> (64 - 16 * width) | 1), word(16 * width - SLOT_BITS)
     sym, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
     made = 0
     while made < limit and len(sym) > 1:
-        inner = np.flatnonzero(~last[:-1])
-        key = sym[inner].astype(word) << word.type(8 * width) | sym[inner + 1].astype(word)
+        key = sym[:-1].astype(word) << half | sym[1:]
+        key[last[:-1]] = none
         order = np.sort(key)
-        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), order[1:] != order[:-1]]))
+        start = np.concatenate([[0], np.flatnonzero(order[1:] != order[:-1]) + 1])
         count = np.diff(np.append(start, len(order)))
+        if order[-1] == none:
+            start, count = start[:-1], count[:-1]
         most = int(count.max(initial=0))
         if most < least:
             break
@@ -117,20 +125,26 @@ def compress(ids: np.ndarray, last: np.ndarray, vocab: int, share: float = SHARE
         if len(good) > limit - made:
             good = np.sort(good[np.argsort(-count[good], kind="stable")[: limit - made]])
         pair = order[start[good]]
+        # a table by hash names the pairs; of two in one slot the other waits for the next round
+        table = np.zeros(1 << SLOT_BITS, np.uint32)
+        table[(pair * spread) >> down] = np.arange(len(pair), dtype=np.uint32)
+        pair = pair[table[(pair * spread) >> down] == np.arange(len(pair))]
+        table[(pair * spread) >> down] = np.arange(len(pair), dtype=np.uint32)
         # most places are left out by their first symbol alone
         begins = np.zeros(vocab + made + 1, bool)
-        begins[pair >> word.type(8 * width)] = True
-        some = np.flatnonzero(begins[sym[inner]])
-        name = np.minimum(np.searchsorted(pair, key[some]), len(pair) - 1)
-        hit = pair[name] == key[some]
-        at, name = inner[some[hit]], name[hit]
+        begins[pair >> half] = True
+        at = np.flatnonzero(begins[sym[:-1]])
+        found = key[at]
+        name = table[(found * spread) >> down]
+        hit = pair[name] == found
+        at, name = at[hit], name[hit]
         # runs of neighbouring places overlap: take the 1st, 3rd, ... of each run
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
         first = np.repeat(start, np.diff(np.append(start, len(at))))
         even = (np.arange(len(at)) - first) & 1 == 0
         at, name = at[even], name[even]
-        rules.append(np.stack([pair >> word.type(8 * width), pair & word.type((1 << 8 * width) - 1)], 1).astype(np.uint32))
-        sym[at] = (vocab + made + name).astype(np.uint32)
+        rules.append(np.stack([pair >> half, pair & (none >> half)], 1).astype(np.uint32))
+        sym[at] = np.uint32(vocab + made) + name
         last[at] |= last[at + 1]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False

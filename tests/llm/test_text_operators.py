@@ -297,7 +297,8 @@ def test_added_tokens_with_rules_go_to_the_library():
 
 def test_memos_are_bounded_by_bytes(monkeypatch):
     """Runs without blanks, each several megabytes long, don't add up in a worker."""
-    monkeypatch.setattr(sentencepiece_codec, "KEPT_BYTES", 1 << 20)
+    for module in (sentencepiece_codec, token_store):
+        monkeypatch.setattr(module, "KEPT_BYTES", 1 << 20)
     random.seed(9)
     texts = ["".join(random.choice("abcdefghijklmnop日本語") for _ in range(n)) for n in (2_000_000, 300_000, 5)] + ["a b"]
     enc = token_store.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
