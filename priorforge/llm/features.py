@@ -59,9 +59,11 @@ def _range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, down: np
 class Words:
     """Words of a group of texts: ``row`` (index of the text in its batch), ``core`` (hash of its letters and digits,
     A-Z lower-cased; 0 if it has none), ``shape`` (hash of its case, its length class and the other marks that end it)
-    and ``follows`` (whether the word before belongs to the same text). Without ``shapes`` only row, core and follows."""
+    and ``follows`` (whether the word before belongs to the same text). Without ``shapes`` only row, core and follows; with
+    ``stem`` also the hash of the first so many bytes of the core (of all, if they are fewer)."""
 
-    def __init__(self, body: np.ndarray, rows: np.ndarray, bounds: np.ndarray, shapes: bool = True):
+    def __init__(self, body: np.ndarray, rows: np.ndarray, bounds: np.ndarray, shapes: bool = True, stem: int = 0):
+        self.old = 0
         lens = bounds[:, 1] - bounds[:, 0]
         n = int((lens + 1).sum())
         text = np.full(n, 32, np.uint8)
@@ -90,6 +92,8 @@ class Words:
         else:
             has, first, last = np.zeros(len(start), bool), start, start
         self.core = np.where(has, _range_hash(prefix, first, last, down), np.uint64(0))
+        if stem:
+            self.stem = np.where(has, _range_hash(prefix, first, np.minimum(last, first + stem), down), np.uint64(0))
         if not shapes:
             return
         tail = mix((prefix[end] - prefix[last]) * down[last])
@@ -107,17 +111,31 @@ class Words:
         self.marks = mix((tail ^ (head >> np.uint64(1))) * np.uint64(37) + style)
 
 
-def groups(col: pa.Array, shapes: bool = True) -> Iterator[Words]:
-    """The words of a string column, about a megabyte at a time. A text may go on in the next group; null is empty."""
+def groups(col: pa.Array, shapes: bool = True, stem: int = 0, carry: int = 0) -> Iterator[Words]:
+    """The words of a string column, about a megabyte at a time; null is empty. A text may go on in the next group, which
+    then begins with the ``carry`` words before it: ``old`` counts these, they are there for pairs only."""
     body, offs = column_bytes(col)
+    before = None
     for rows, bounds in pieces(offs, body):
-        yield Words(body, rows, bounds, shapes)
+        w = Words(body, rows, bounds, shapes, stem)
+        w.old = 0
+        if before is not None and carry and len(w.row) and len(before.row) and before.row[-1] == w.row[0]:
+            w.old = min(carry, int((before.row[-carry:] == w.row[0]).sum()))
+            for name, new in list(vars(w).items()):
+                if isinstance(new, np.ndarray):
+                    setattr(w, name, np.concatenate([getattr(before, name)[-w.old :], new]))
+            w.follows[w.old] = True
+        if len(w.row):
+            before = w
+        yield w
 
 
 def pairs(w: Words, values: np.ndarray, gap: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each word's value with the one ``gap`` words before it in the same text."""
-    if len(values) <= gap:
+    """(row, hash) of each new word's value with the one ``gap`` words before it in the same text."""
+    s = max(gap, w.old)
+    if len(values) <= s:
         return w.row[:0], values[:0]
-    same = w.row[gap:] == w.row[:-gap]
-    h = mix(values[gap:] * np.uint64(0x9E3779B97F4A7C15) + values[:-gap] + np.uint64(salt))
-    return w.row[gap:][same], h[same]
+    now, then = slice(s, None), slice(s - gap, len(values) - gap)
+    same = w.row[now] == w.row[then]
+    h = mix(values[now] * np.uint64(0x9E3779B97F4A7C15) + values[then] + np.uint64(salt))
+    return w.row[now][same], h[same]

@@ -11,8 +11,6 @@ from .features import groups, pairs
 from .toxicity import labelled_sample
 
 BITS = 15
-#: Terms of fewer documents than this share of the corpus are left out of the space.
-MIN_SHARE = 0.002
 RANK, NEIGHBOURS, PER_CLASS = 32, 25, 2000
 
 
@@ -21,7 +19,8 @@ def terms(w, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     twice = np.zeros(len(w.row), np.uint64)
     if len(w.row) > 1:
         twice[1:] = (w.core[1:] == w.core[:-1]) & w.follows[1:]
-    got = [(w.row, w.core ^ np.uint64(0x5851F42D4C957F2D)), (w.row, w.shape), pairs(w, w.marks + twice, 1, 7)]
+    n = w.old
+    got = [(w.row[n:], w.core[n:] ^ np.uint64(0x5851F42D4C957F2D)), (w.row[n:], w.shape[n:]), pairs(w, w.marks + twice, 1, 7)]
     row = np.concatenate([r for r, _ in got])
     return row, (np.concatenate([h for _, h in got]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -29,7 +28,7 @@ def terms(w, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 def _counted(col: pa.Array, bits: int):
     """(row, slot, count) of a batch's texts; a text that spans groups is put together."""
     keys, counts = [], []
-    for w in groups(col):
+    for w in groups(col, carry=2):  # a pair's earlier word is compared with the one before it
         row, slot = terms(w, bits)
         k, c = np.unique(row.astype(np.int64) << bits | slot, return_counts=True)
         keys.append(k)
@@ -109,16 +108,17 @@ def _weights(slot, count, idf):
 
 
 class Space:
-    """What the scoring needs: idf by slot, the basis, labelled unit vectors and their labels; all of bounded size."""
+    """What the scoring needs: idf by slot, the basis, labelled unit vectors and their labels, and the score of texts
+    without known terms; all of bounded size."""
 
-    def __init__(self, idf, used, basis, vectors, labels):
-        self.idf, self.used, self.basis, self.vectors, self.labels = idf, used, basis, vectors, labels
+    def __init__(self, idf, used, basis, vectors, labels, blank):
+        self.idf, self.used, self.basis, self.vectors, self.labels, self.blank = idf, used, basis, vectors, labels, blank
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", per_class: int = PER_CLASS, rank: int = RANK, bits: int = BITS, min_share: float = MIN_SHARE, **cols) -> Space:
+def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", per_class: int = PER_CLASS, rank: int = RANK, bits: int = BITS, **cols) -> Space:
     """Document frequencies of the whole corpus; the space and the voters from at most ``per_class`` labelled documents of each class."""
     df, n = document_frequencies(docs, bits, cols.get("text_col", "text"))
-    keep = df >= max(1, min_share * n)
+    keep = df > 0
     idf = np.where(keep, np.log((1 + n) / (1 + df)), 0.0)
     used = np.cumsum(keep) - 1
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
@@ -138,12 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", per
     values = [_weights(np.frombuffer(r.slots, np.int32), np.frombuffer(r.counts, np.int32), idf) for r in rows]
     voters = np.array([r.y for r in rows], np.float32)
     del rows
+    # texts without terms don't vote on others; one vote against stands for what isn't there
+    bare = np.array([not len(c) for c in cols], bool)
+    blank = float(voters[bare].sum() / (bare.sum() + 1))
+    cols, values, voters = [c for c in cols if len(c)], [v for v in values if len(v)], voters[~bare]
     values = [v / max(float(np.linalg.norm(v)), 1e-12) for v in values]
     x = Sparse(cols, values, max(1, int(keep.sum())))
     basis = randomised_svd(x, rank) if len(cols) else np.zeros((x.shape[1], 1), np.float32)
     v = x.times(basis)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    return Space(idf, np.where(keep, used, -1), basis.astype(np.float32), v.astype(np.float32), voters)
+    return Space(idf, np.where(keep, used, -1), basis.astype(np.float32), v.astype(np.float32), voters, blank)
 
 
 def _votes(col: pa.Array, sp: Space, neighbours: int, bits: int) -> np.ndarray:
@@ -168,19 +172,29 @@ def _votes(col: pa.Array, sp: Space, neighbours: int, bits: int) -> np.ndarray:
     for s in range(0, n if k else 0, 1024):
         sim = vec[s : s + 1024] @ sp.vectors.T
         near = np.argpartition(sim, -k, axis=1)[:, -k:]
+        edge = np.take_along_axis(sim, near, 1).min(1, keepdims=True)
+        tied = np.flatnonzero((sim >= edge).sum(1) > k)  # more voters than places at the last similarity
+        for t in tied.tolist():
+            near[t] = np.lexsort((np.arange(sim.shape[1]), -sim[t]))[:k]
         votes = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64)
         total = votes.sum(1)
         ok = (total > 0) & (norm[s : s + 1024] > 0)
         score[s : s + 1024][ok] = ((votes * sp.labels[near]).sum(1)[ok] / total[ok]).clip(0, 1)
+    known = np.zeros(n, bool)
+    known[row] = True
+    score[~known] = sp.blank
     return score
 
 
 def score_quality(docs: DataFrame, space: Space, neighbours: int = NEIGHBOURS, threshold: float = 0.3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted: the similarity-weighted vote of the nearest labelled documents, for every whole text.
 
-    Exact cosines with all labelled vectors, in blocks of documents. Negative similarities don't vote. A text without
-    known terms (empty, null) has no neighbour: its score is the voters' mean label, or 0.5 without any voter. Repeated
-    rows agree; an empty table gives an empty one.
+    Exact cosines with all labelled vectors, in blocks of documents. Negative similarities don't vote; among equally
+    similar ones at the end of the nearest those first in the order of their ids do. A text without known terms (empty,
+    null, blank) has no neighbour: its score is the mean label of such labelled texts and of one more with label 0, so 0
+    if none is labelled. A text of which no neighbour is similar has the voters' mean label, or 0.5 without any voter.
+    Whole texts, however long. Repeated rows agree; an empty table gives an empty one; other columns, whatever their
+    names, aren't read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(space)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrow_text import slices
-from .features import groups, pairs
+from .features import groups, mix, pairs
 
 BITS = 20
+#: A word's stem is its first so many bytes: inflected and compounded forms share it.
+STEM = 6
+#: Bytes of labelled texts of each class that a classifier is fitted on at most, besides the bound on their number.
+SAMPLE_BYTES = 64 << 20
 
 
 def gram_slots(w, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every word, pair of neighbours, and pair that skips one or two words, hashed to 2^bits slots."""
+    """(row, slot) of every word, its stem, pair of neighbours, and pair that skips one or two words, hashed to 2^bits slots."""
     has = w.core != 0
-    got = [(w.row[has], w.core[has])] + [pairs(w, w.core, gap, gap) for gap in (1, 2, 3)]
+    has[: w.old] = False
+    got = [(w.row[has], w.core[has]), (w.row[has], mix(w.stem[has] + np.uint64(11)))] + [pairs(w, w.core, gap, gap) for gap in (1, 2, 3)]
     row = np.concatenate([r for r, _ in got])
     return row, (np.concatenate([h for _, h in got]) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -23,7 +28,7 @@ def gram_slots(w, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 def _row_slots(col: pa.Array, bits: int) -> list[np.ndarray]:
     """Distinct slots of each text."""
     parts: list[list[np.ndarray]] = [[] for _ in range(len(col))]
-    for w in groups(col, shapes=False):
+    for w in groups(col, shapes=False, stem=STEM, carry=3):
         row, slot = gram_slots(w, bits)
         key = np.unique(row.astype(np.int64) << bits | slot)
         r = key >> bits
@@ -34,7 +39,7 @@ def _row_slots(col: pa.Array, bits: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(p)) if len(p) > 1 else p[0] if p else np.zeros(0, np.int64) for p in parts]
 
 
-def fit_ftrl(slots: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = 10, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, seed: int = 5):
+def fit_ftrl(slots: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = 10, alpha: float = 5.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, seed: int = 5):
     """(slots, weights, bias) that aren't zero. Features are present or absent; each coordinate has its own rate
     alpha / (beta + sqrt(sum of its squared gradients)) and is zero until the gradients outweigh ``l1``."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -57,8 +62,9 @@ def fit_ftrl(slots: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epoc
     return at, w[at], bias
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(y, text) of at most ``per_class`` labelled documents of each class, in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, y, text) of at most ``per_class`` labelled documents of each class, in the order of a hash of the id, up to the
+    document whose text reaches ``max_bytes`` together with those before it.
 
     A document labelled more than once has the mean of its labels, at least 0.5 for class 1; null labels don't count.
     Repeated rows of a document count once (the greatest text).
@@ -71,7 +77,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = part if picked is None else picked.unionByName(part)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = text.join(F.broadcast(picked), "id")  # at most 2 * per_class rows
-    return joined.groupBy("id", "y").agg(F.max("text").alias("text"))
+    found = joined.groupBy("id", "y").agg(F.max("text").alias("text"))
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < max_bytes).drop("before")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", per_class: int = 2500, bits: int = BITS, **cols):
@@ -94,7 +102,8 @@ def score_toxicity(docs: DataFrame, model, threshold: float = 0.7, bits: int = B
     """doc_id, score, predicted: probability of class 1 for every whole text.
 
     The weights that aren't zero are broadcast: no more than the sample's distinct slots. Null and empty texts get the
-    bias alone. Rows are scored one by one, so repeated rows agree; an empty table gives an empty one.
+    bias alone; a score of just ``threshold`` is class 1. Whole texts, however long. Rows are scored one by one, so
+    repeated rows agree; an empty table gives an empty one; other columns, whatever their names, aren't read.
     """
     at, weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights, bias))
@@ -107,7 +116,7 @@ def score_toxicity(docs: DataFrame, model, threshold: float = 0.7, bits: int = B
         for b in slices(batches):
             total = np.full(b.num_rows, bias)
             held = [np.zeros(0, np.int64)]
-            for w in groups(b.column(1), shapes=False):
+            for w in groups(b.column(1), shapes=False, stem=STEM, carry=3):
                 row, slot = gram_slots(w, bits)
                 on = dense[slot] != 0
                 held.append(np.unique(row[on].astype(np.int64) << bits | slot[on]))

@@ -200,6 +200,86 @@ def test_long_texts_are_cut_between_words():
     assert sum(len(Words(body, r, b).core) for r, b in parts) == 1000
 
 
+def test_long_texts_lose_no_pair(monkeypatch):
+    """Features of a text that is handled in many groups equal those of the same text in one."""
+    import pyarrow as pa
+    from priorforge.llm import arrow_text
+
+    random.seed(4)
+    texts = [" ".join(random.choice(["aa", "aa", "b!", "Cc,", "d1", "*"]) for _ in range(n)) for n in (1, 400, 2, 3000, 7)] + [None, "", "x " * 50]
+    col = pa.array(texts)
+    want = [toxicity._row_slots(col, 20), quality._counted(col, 15)]
+    real = arrow_text.pieces
+    monkeypatch.setattr("priorforge.llm.features.pieces", lambda offs, body: real(offs, body, limit=60))
+    got = [toxicity._row_slots(col, 20), quality._counted(col, 15)]
+    assert all(np.array_equal(a, b) for a, b in zip(want[0], got[0], strict=True))
+    assert all(np.array_equal(a, b) for a, b in zip(want[1], got[1], strict=True))
+
+
+def test_votes_equal_a_plain_vote():
+    """Scores by brute force: dense TF-IDF vectors, all cosines, the nearest in the order of similarity and place."""
+    import pyarrow as pa
+
+    random.seed(7)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta,", "Theta."]
+    texts = [" ".join(random.choices(words, k=random.randint(1, 12))) for _ in range(60)] + ["", None, " "]
+    rng = np.random.default_rng(1)
+    bits, n_slots = 8, 256
+    idf, basis = rng.random(n_slots), rng.standard_normal((n_slots, 5)).astype(np.float32)
+    vectors = rng.standard_normal((40, 5)).astype(np.float32)
+    vectors[20:] = vectors[:20]  # every voter has a twin
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, 40).astype(np.float32)
+    space = quality.Space(idf, np.arange(n_slots), basis, vectors, labels, 0.125)
+    got = quality._votes(pa.array(texts), space, 5, bits)
+    row, slot, count = quality._counted(pa.array(texts), bits)
+    for k, t in enumerate(texts):
+        if not (t or "").strip():
+            assert got[k] == 0.125
+            continue
+        x = np.zeros(n_slots)
+        x[slot[row == k]] = (1 + np.log(count[row == k])) * idf[slot[row == k]]
+        v = (x @ basis) / np.linalg.norm(x @ basis)
+        sim = (vectors.astype(float) @ v).round(5)
+        near = sorted(range(40), key=lambda i: (-sim[i], i))[:5]
+        votes = np.maximum(sim[near], 0)
+        assert got[k] == pytest.approx((votes * labels[near]).sum() / votes.sum() if votes.sum() else labels.mean(), abs=1e-3)
+
+
+def test_ftrl_equals_coordinates_one_by_one():
+    rng = np.random.default_rng(3)
+    slots = [np.unique(rng.integers(0, 40, 6)) for _ in range(50)]
+    y = rng.integers(0, 2, 50).astype(float)
+    at, w, bias = toxicity.fit_ftrl(slots, y, bits=6, epochs=3, alpha=0.7, beta=1.0, l1=0.4, l2=0.1, seed=2)
+    z, n, b, bn = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= 0.4:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * 0.4) / ((1.0 + n[i] ** 0.5) / 0.7 + 0.1)
+
+    order = np.random.default_rng(2)
+    for _ in range(3):
+        for k in order.permutation(50):
+            p = 1 / (1 + np.exp(-(sum(weight(i) for i in slots[k]) + b)))
+            g = p - y[k]
+            for i in slots[k]:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.7
+                z[i] += g - sigma * weight(i)
+                n[i] += g * g
+            bn += g * g
+            b -= 0.7 * g / (1.0 + bn**0.5)
+    want = {i: weight(i) for i in range(64) if weight(i)}
+    assert at.tolist() == sorted(want) and np.allclose(w, [want[i] for i in at.tolist()]) and bias == pytest.approx(b)
+
+
+def test_labelled_samples_are_bounded_by_bytes(spark):
+    d = spark.createDataFrame([(k, "x" * 100) for k in range(50)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    size = lambda n: sorted(r["count"] for r in toxicity.labelled_sample(d, lab, "toxic", 20, lambda c: queries.F.lit(True), max_bytes=n).groupBy("y").count().collect())
+    assert size(1 << 20) == [20, 20] and size(450) == [5, 5] and size(1) == [1, 1]
+
+
 def held_out(spark, query, label, fold):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", label)
     got = query(spark, "/root/testdata/sf0.1")
@@ -219,7 +299,7 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     rows = held_out(spark, queries.op4_toxicity, "toxic", lambda c: c % 3 == 1)
-    assert sum(r.predicted == 1 for r in rows if r.toxic == 1) >= 0.65 * sum(r.toxic for r in rows)
+    assert sum(r.predicted == 1 for r in rows if r.toxic == 1) >= 0.8 * sum(r.toxic for r in rows)
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.005 * len(rows)
 
 
@@ -346,4 +426,4 @@ def test_pipeline_edges(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         got = corpus_pipeline.run(spark, path).collect()
-        assert sorted(str(r.doc_id) for r in got) == (["1", "3", "5", "5", "None"] if some else [])
+        assert sorted(str(r.doc_id) for r in got) == (["3", "5", "5", "None"] if some else [])
