@@ -83,6 +83,26 @@ def test_long_items_and_items_of_frequent_words_are_found(spark):
     assert {r.doc_id: sorted(x.item_id for x in r.found) for r in got} == want
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(0, 700)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 900)).astype(np.uint64)]))
+        assert resemblance.least_difference(resemblance.parities(a), resemblance.parities(b)) <= len(np.setxor1d(a, b))
+
+
+def test_a_hot_shingle_and_large_groups(spark):
+    """A third of the texts are alike, and one passage stands in all of them; nothing is lost and nothing added."""
+    random.seed(11)
+    words, same = [f"w{k}" for k in range(500)], [f"h{k}" for k in range(60)]
+    base = random.choices(words, k=200)
+    rows = [(k, " ".join(same + [random.choice(words) if random.random() < 0.01 else w for w in base])) for k in range(200)]
+    rows += [(1000 + k, " ".join(same + random.choices(words, k=random.randint(5, 60)))) for k in range(200)]
+    top, _ = groups_of(rows)
+    got = resemblance.resemblance_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: rows[top[k]][0] for k, (i, _) in enumerate(rows)}
+
+
 def planted(sf, seed, n):
     """Documents with ``n`` copies of items in which up to 40 % of the words are replaced and others are put between them."""
     random.seed(seed)
