@@ -80,7 +80,8 @@ def normalised_penalty(scores: DataFrame, c: PriorConfig) -> DataFrame:
 def sample_weights(z: DataFrame, scores: DataFrame, c: PriorConfig) -> DataFrame:
     """P5: (row_id, weight) from standardised values (row_id, feature, z).
 
-    The cosine of |z|^power with the importances, rescaled to 0..1 over all rows, then mapped by beta.
+    The cosine of |z|^power with the importances, rescaled to 0..1 over all rows, then mapped by beta. A row that is at
+    every feature's mean has no direction: its cosine is 0.
     """
     if c.sample_map == SQRT:
         raise ValueError("sample weights have no square-root map")
@@ -88,7 +89,7 @@ def sample_weights(z: DataFrame, scores: DataFrame, c: PriorConfig) -> DataFrame
     h = F.abs("z") if c.power == 1 else F.pow(F.abs("z"), F.lit(c.power))
     got = z.join(F.broadcast(s), "feature").groupBy("row_id").agg(F.sum(F.col("importance") * h).alias("dot"), F.sqrt(F.sum(h * h)).alias("hn"))
     norm = s.agg(F.sqrt(F.sum(F.col("importance") * F.col("importance"))).alias("sn"))
-    cos = got.crossJoin(F.broadcast(norm)).select("row_id", (F.col("dot") / (F.col("sn") * F.col("hn"))).alias("cos"))
+    cos = got.crossJoin(F.broadcast(norm)).select("row_id", F.coalesce(F.try_divide("dot", F.col("sn") * F.col("hn")), F.lit(0.0)).alias("cos"))
     span = cos.agg(F.min("cos").alias("lo"), F.max("cos").alias("hi"))
     w = (F.col("cos") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(c.eps))
     mapped = {IDENTITY: (1 - F.lit(c.beta)) + F.lit(c.beta) * w, POWER: F.pow(w, F.lit(c.beta)), EXP: F.exp(F.lit(c.beta) * w)}[c.sample_map]

@@ -31,7 +31,7 @@ def _objects(text: str | None) -> list[str]:
         try:
             value, _ = read.raw_decode(text, at)
             out.append(json.dumps(value, sort_keys=True))
-        except ValueError:
+        except (ValueError, RecursionError):  # malformed, or nested beyond what Python reads
             pass
         at += 1
     return out
@@ -99,12 +99,13 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, vec: str = "embedding"
     """Q9: (query_id, doc_id, rank, similarity): the k documents most alike by cosine; ties by doc_id.
 
     Exact: queries (a stated set, a few thousand at most) are collected and held against the store in blocks of it; a task keeps
-    its k best for each query before the shuffle.
+    its k best for each query before the shuffle. Vectors that are null or hold a null are like nothing: they are left out.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", vec).collect()
+    whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
+    rows = queries.filter(whole).select("query_id", vec).collect()
     if not rows:
         return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, similarity double, rank int")
     sent = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
@@ -123,7 +124,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, vec: str = "embedding"
             n = take.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(docs[take].ravel()), pa.array(np.take_along_axis(sim, take, 1).ravel())], schema=schema)
 
-    best = store.select(F.col("doc_id").cast("long"), vec).mapInArrow(run, "query_id long, doc_id long, similarity double")
+    best = store.filter(whole).select(F.col("doc_id").cast("long"), vec).mapInArrow(run, "query_id long, doc_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -141,14 +142,16 @@ class FileProvider:
 def structured_calls(prompts: DataFrame, provider, retries: int = 3) -> DataFrame:
     """Q2, Q3: for each prompt (prompt_key, names ARRAY<STRING>) its first attempt whose answer is valid; success null-safe.
 
-    Valid: the text has scores for exactly the names, whatever their case; they come back in canonical case.
+    Valid: an object in the text has scores for exactly the names, whatever their case; they come back in canonical case.
+    Of several such objects the first one counts.
     """
     tried = provider.ask(prompts).filter(F.col("attempt").isNull() | (F.col("attempt") < retries))
-    parsed = tried.withColumn("parsed", typed_answer(F.regexp_extract("answer", r"(?s)\{.*\}", 0)))
-    keys = F.array_sort(F.transform(F.map_keys("parsed.scores"), lambda k: F.lower(k)))
-    valid = F.coalesce(keys == F.array_sort(F.transform("names", lambda k: F.lower(k))), F.lit(False))
+    parsed = json_objects(tried, "answer").withColumn("parsed", F.transform("objects", typed_answer))
+    wanted = F.array_sort(F.transform("names", lambda k: F.lower(k)))
+    fits = lambda p: F.coalesce(F.array_sort(F.transform(F.map_keys(p["scores"]), lambda k: F.lower(k))) == wanted, F.lit(False))
+    rows = parsed.withColumn("parsed", F.get(F.filter("parsed", fits), F.lit(0))).withColumn("success", F.col("parsed").isNotNull())
     canonical = F.map_from_arrays("names", F.transform("names", lambda n: F.element_at(F.map_values(F.map_filter("parsed.scores", lambda k, _: F.lower(k) == F.lower(n))), 1)))
-    rows = parsed.withColumn("success", valid).withColumn("scores", F.when(valid, canonical))
+    rows = rows.withColumn("scores", F.when(F.col("success"), canonical))
     best = F.min_by(F.struct("attempt", "scores"), "attempt").alias("best")
     good = rows.filter("success").groupBy("prompt_key").agg(best)
     spent = rows.groupBy("prompt_key").agg(F.count("attempt").alias("attempts"))

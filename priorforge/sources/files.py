@@ -34,10 +34,11 @@ def read_commented_tsv(spark: SparkSession, path: str, schema: str, columns: lis
 
 
 def read_sample_rows(spark: SparkSession, path: str, name: str, value: str, skip: str) -> DataFrame:
-    """A5: files of (name, value) lines become one row a file: (file, map). Names that start with ``skip`` are summaries."""
+    """A5: files of (name, value) lines become one row a file: (file, map). Names that start with ``skip`` are summaries; of a repeated name the greatest value counts."""
     lines = spark.read.option("sep", "\t").option("comment", "#").csv(path, header=True).withColumn("file", F.input_file_name())
     some = lines.filter(~F.col(name).startswith(skip))
-    return some.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name), F.col(value).cast("double"))))).alias("features"))
+    one = some.groupBy("file", F.col(name).alias("name")).agg(F.max(F.col(value).cast("double")).alias("value"))
+    return one.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("features"))
 
 
 def save_dataset(path: str, data: DataFrame, splits: DataFrame, metadata: DataFrame) -> None:
