@@ -42,6 +42,8 @@ LOUD = 4.0
 #: Share of the least finding's weight that must lie in one passage; what is inserted may push the rest into the next one.
 INSIDE = 0.6
 CHUNK = 64
+#: Rows that are added up one after the other; of more, the sums are added up again.
+RUN = 48
 #: Cells of the table of a longest common subsequence; longer ones are found by halves.
 TABLE = 1 << 22
 
@@ -124,6 +126,30 @@ def encode(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFra
     return narrow.mapInArrow(run, "doc_id long, h long, ids binary, term int, n long")
 
 
+def _runs(table: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    out = np.zeros((len(begin), table.shape[1]), table.dtype)
+    for j in range(int(size.max(initial=0))):
+        m = int(np.searchsorted(-size, -j))
+        out[:m] += table[at[begin[:m] + j]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _sums(table: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Row k: the sum of the rows ``at[start[k]:start[k + 1]]`` of ``table``, in runs of at most RUN rows, a row of all runs at a time."""
+    size = np.diff(start)
+    if size.max(initial=0) <= RUN:
+        return _runs(table, at, start[:-1], size)
+    n = -(-size // RUN)
+    ends = np.cumsum(n)
+    before = RUN * (np.arange(ends[-1]) - np.repeat(ends - n, n))
+    runs = _runs(table, at, np.repeat(start[:-1], n) + before, np.minimum(RUN, np.repeat(size, n) - before))
+    return _sums(runs, np.arange(len(runs)), np.append(0, ends))
+
+
 class Passages:
     """The known words of some documents by block, and the passages: blocks b and b + 1 of one document, for every b."""
 
@@ -146,12 +172,7 @@ class Passages:
 
     def project(self, table: np.ndarray, s: int, e: int) -> np.ndarray:
         """Sums of the rows of ``table`` of the words of blocks s to e."""
-        out = np.zeros((e - s, table.shape[1]), table.dtype)
-        lo, hi = self.start[s], self.start[e]
-        full = np.flatnonzero(self.start[s + 1 : e + 1] > self.start[s:e])
-        if len(full):
-            out[full] = np.add.reduceat(table[self.term[lo:hi]], self.start[s:e][full] - lo, axis=0)
-        return out
+        return _sums(table, self.term, self.start[s : e + 1])
 
     def products(self, table: np.ndarray, step: int = 512):
         """(first passage, sums of ``table`` over the words of that passage and the following ones), some at a time."""
@@ -210,7 +231,7 @@ def corpus_directions(encoded: DataFrame, scale: np.ndarray, rank: int = RANK, o
                     t = p.term[lo:hi][order]
                     if len(t):
                         head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                        total[t[head]] += np.add.reduceat(own[p.block[lo:hi][order] - r], head, axis=0)
+                        total[t[head]] += _sums(own, p.block[lo:hi][order] - r, np.append(head, len(t)))
         total *= scale[:, None]
         parts = [(c, total[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-n // CHUNK))]
         parts = [(c, p.tobytes()) for c, p in parts if p.any()]

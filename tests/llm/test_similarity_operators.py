@@ -427,3 +427,13 @@ def test_pipeline_edges(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         got = corpus_pipeline.run(spark, path).collect()
         assert sorted(str(r.doc_id) for r in got) == (["3", "5", "5", "None"] if some else [])
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((50, 5))
+    for sizes in ([0, 3, 200, 1, 0, 5000, decontamination.RUN, decontamination.RUN + 1], [0], [], [0, 0, 7]):
+        start = np.append(0, np.cumsum(sizes)).astype(int)
+        at = rng.integers(0, len(rows), start[-1])
+        plain = np.array([rows[at[s:e]].sum(0) for s, e in zip(start, start[1:])]).reshape(-1, 5)
+        assert np.allclose(decontamination._sums(rows, at, start), plain)
