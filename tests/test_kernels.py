@@ -87,6 +87,19 @@ def test_stackers(kind):
         assert not w[2:].any()
 
 
+def hopeless(learner):
+    """Test predictions of a learner's stack where the folds' predictions go against their rows, so no member gets a weight."""
+    x, folds = np.zeros((80, 3)), np.arange(80) % 2
+    y = np.where(np.arange(80) % 8 < 6, 1 - folds, folds).astype(float)
+    stack = experiment.learner_study(learner)[-1]
+    return experiment.run_cell(stack, "binary", x, y, np.zeros((7, 3)), np.ones(3), folds, 1)
+
+
+def test_a_lasso_stack_without_weights_still_predicts_every_row():
+    z = hopeless("lasso")
+    assert z.tolist() == [0.0] * 7 and meta.score("auroc", np.arange(7) % 2, z) == 0.5
+
+
 def test_score_equals_the_definition():
     y, z = np.array([0, 1, 1, 0.0]), np.array([0.1, 0.1, 0.5, -0.4])
     assert meta.score("auroc", y, z) == pytest.approx(3.5 / 4)
