@@ -100,6 +100,11 @@ def test_a_lasso_stack_without_weights_still_predicts_every_row():
     assert z.tolist() == [0.0] * 7 and meta.score("auroc", np.arange(7) % 2, z) == 0.5
 
 
+def test_a_boosted_stack_without_weights_still_predicts_every_row():
+    z = hopeless("boosted")
+    assert z.tolist() == [0.0] * 7 and meta.score("mcc", np.arange(7) % 2, z) == 0.0
+
+
 def test_score_equals_the_definition():
     y, z = np.array([0, 1, 1, 0.0]), np.array([0.1, 0.1, 0.5, -0.4])
     assert meta.score("auroc", y, z) == pytest.approx(3.5 / 4)
