@@ -103,6 +103,36 @@ def test_a_hot_shingle_and_large_groups(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: rows[top[k]][0] for k, (i, _) in enumerate(rows)}
 
 
+def test_every_link_meets_and_unlike_texts_make_no_pair(spark):
+    """Texts that share a long passage and are not alike make no pair; every link is met, with rows in several files."""
+    random.seed(22)
+    words, passage = [f"w{k}" for k in range(5000)], [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join(passage + random.choices(words, k=90))) for k in range(120)]
+    for g in range(60):
+        base = random.choices(words, k=150)
+        rows += [(len(rows) + k, " ".join(random.choice(words) if random.random() < 0.01 else w for w in base)) for k in range(3)]
+    texts = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, h long, text string")
+    known = resemblance.table(resemblance._prefixes(texts, 5, 0.8), "known")
+    node = {r.doc_id: r.node for r in known.collect()}
+    kinds = resemblance.table(known.dropDuplicates(["node"]), "kinds")
+    shared = resemblance.table(resemblance._shared(kinds).repartition(5), "shared")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.a, r.b) for r in resemblance._candidates(shared, None, kinds, 0.8, False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    links = {tuple(sorted((node[a], node[b]))) for a, b in groups_of(rows)[1] if node[a] != node[b]}
+    alone = {node[k] for k in range(120)}
+    assert len(links) > 100 and links <= got and not any(a in alone or b in alone for a, b in got)
+
+
+def test_differences_of_many_pairs():
+    rng = np.random.default_rng(6)
+    bits = [resemblance.parities(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(0, 700, 60)]
+    i, j = (rng.integers(0, 60, 500) for _ in range(2))
+    assert resemblance.least_differences(bits, i, j).tolist() == [resemblance.least_difference(bits[x], bits[y]) for x, y in zip(i, j)]
+
+
 def planted(sf, seed, n):
     """Documents with ``n`` copies of items in which up to 40 % of the words are replaced and others are put between them."""
     random.seed(seed)
