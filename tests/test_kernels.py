@@ -132,6 +132,17 @@ def test_a_perfect_prior_helps_and_work_resumes(spark):
     assert left.count() == 2 and {r.split_idx for r in left.collect()} == {3}
 
 
+def test_a_boosted_study_without_weights_gives_every_row(spark):
+    """Twins of opposite labels: the one in another fold teaches the wrong label, so the stack takes no member."""
+    df = spark.createDataFrame([(k, float(k % 2), [float(k // 2)] * 3) for k in range(67)], "row_id long, label double, features array<double>")
+    plan = spark.createDataFrame([(0, 0.9, 0, k, "train" if k < 60 else "test") for k in range(67)], "ratio_idx int, train_ratio double, split_idx int, row_id long, part string")
+    scores = spark.createDataFrame([(j, 0.1 + j / 3) for j in range(3)], "j int, score double")
+    got = {r.name: r for r in experiment.run(df, plan, scores, experiment.Study(methods=experiment.learner_study("boosted"))).collect()}
+    assert set(got) == {"boosted_t0", "boosted_t1", "boosted_t2", "oof_positive"}
+    z = got["oof_positive"]
+    assert (z.accuracy, z.misclass, z.auroc, z.mcc) == (pytest.approx(4 / 7), pytest.approx(3 / 7), 0.5, 0.0)
+
+
 def test_preselected_features_reach_the_model(spark):
     x, y, _ = data(150, 10)
     df = spark.createDataFrame([(k, float(y[k]), x[k].tolist()) for k in range(150)], "row_id long, label double, features array<double>")
