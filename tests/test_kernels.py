@@ -152,3 +152,40 @@ def test_preselected_features_reach_the_model(spark):
     scores = spark.createDataFrame([(j, 0.5) for j in range(10)], "j int, score double")
     got = experiment.run(df, plan, scores, experiment.Study(cv=3, methods=[experiment.ridge()]), preselected=chosen)
     assert min(r.auroc for r in got.collect()) > 0.8
+
+
+def plain_tree(bins, n_bins, g, h, depth, k, weights, rng, l2):
+    """Every node's cut by its definition: the best gain over the features drawn for it."""
+    node, cuts = np.zeros(len(bins), int), []
+    for level in range(depth):
+        m = 1 << level
+        gs, hs = np.bincount(node, g, m), np.bincount(node, h, m)
+        feat, cut = np.full(m, -1), np.zeros(m, int)
+        for q in np.unique(node):
+            best = 1e-9
+            for j in np.sort(rng.choice(bins.shape[1], k, replace=False, p=weights / weights.sum())):
+                gl, hl = (np.cumsum(np.bincount(bins[node == q, j], v[node == q], n_bins))[:-1] for v in (g, h))
+                gain = gl**2 / (hl + l2) + (gs[q] - gl) ** 2 / (hs[q] - hl + l2) - gs[q] ** 2 / (hs[q] + l2)
+                gain[(hl < 1) | (hs[q] - hl < 1)] = -1
+                if gain.max() > best:
+                    best, feat[q], cut[q] = gain.max(), j, gain.argmax()
+        cuts.append((feat, cut))
+        node = node * 2 + ((feat[node] >= 0) & (bins[np.arange(len(bins)), feat[node]] > cut[node]))
+    return cuts, node
+
+
+@pytest.mark.parametrize("l2", [1e-9, 1.0])
+def test_a_tree_counts_a_row_for_drawn_features_alone(l2, monkeypatch):
+    n, p, k, depth = 3000, 40, 5, 6
+    rng = np.random.default_rng(11)
+    bins, weights = rng.integers(0, 16, (n, p)), rng.uniform(0.1, 1, p)
+    draw = rng.multinomial(n, np.full(n, 1 / n)).astype(float)
+    g = -draw * (bins[:, 3] + rng.integers(0, 9, n) > 12)
+    want, leaf = plain_tree(bins, 16, g, draw, depth, k, weights, np.random.default_rng(5), l2)
+    counted, count = [], np.bincount
+    monkeypatch.setattr(kernels.np, "bincount", lambda x, *a, **kw: (counted.append(len(x)), count(x, *a, **kw))[1])
+    got = kernels.Tree(depth, k / p, weights, np.random.default_rng(5), l2=l2).fit(bins, 16, g, draw)
+    assert sum(counted) <= (depth + 1) * n * (2 * k + 3)
+    for (f, c), gf, gc in zip(want, got.feature, got.cut):
+        assert f.tolist() == gf.tolist() and c.tolist() == gc.tolist()
+    assert got.node.tolist() == leaf.tolist()
