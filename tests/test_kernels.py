@@ -189,3 +189,12 @@ def test_a_tree_counts_a_row_for_drawn_features_alone(l2, monkeypatch):
     for (f, c), gf, gc in zip(want, got.feature, got.cut):
         assert f.tolist() == gf.tolist() and c.tolist() == gc.tolist()
     assert got.node.tolist() == leaf.tolist()
+
+
+def test_boosting_takes_leaves_from_the_fit(monkeypatch):
+    x, y, _ = data()
+    monkeypatch.setattr(kernels.Tree, "predict", None)  # a second walk of the training rows
+    m = kernels.Boosted(rounds=3).fit(x, y)
+    monkeypatch.undo()
+    assert all(t.node is None for t in m.trees) and m._bins(x).dtype == np.uint8
+    assert meta.score("auroc", y, m.predict(x)) > 0.8
