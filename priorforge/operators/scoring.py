@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -95,36 +96,101 @@ def total_costs(costs: DataFrame, keys: list[str]) -> DataFrame:
     return costs.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "input_cost", "output_cost")])
 
 
-def nearest(queries: DataFrame, store: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
+def _matrix(column):
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _norms(x):
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * x[:, j]
+    return np.sqrt(total)
+
+
+def _cosines(q, qn, x, xn):
+    """Of rows one by one, summed from the first number to the last."""
+    total = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        total += q[:, j] * x[:, j]
+    return total / np.maximum(qn * xn, 1e-300)
+
+
+def _merge(ids, sims, at, docs, sim):
+    """The k best of each query, of those it has and the new pairs (at, docs, sim)."""
+    some = np.unique(at)
+    has_q, has_k = np.nonzero(sims[some] > -np.inf)
+    q = np.concatenate([some[has_q], at])
+    d, c = np.concatenate([ids[some[has_q], has_k], docs]), np.concatenate([sims[some[has_q], has_k], sim])
+    order = np.lexsort((d, -c, q))
+    q, d, c = q[order], d[order], c[order]
+    k = ids.shape[1]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    q, d, c, place = (v[place < k] for v in (q, d, c, place))
+    ids[q, place], sims[q, place] = d, c
+
+
+def _fewer(docs, x, k: int):
+    """Of equal vectors the k least ids: no other can be among the k best."""
+    at = np.argsort(docs, kind="stable")
+    rows = np.ascontiguousarray(x[at])
+    same = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.argsort(same, kind="stable")
+    keep = order[np.arange(len(same)) - np.searchsorted(same[order], same[order]) < k]
+    return docs[at[keep]], x[at[keep]]
+
+
+def best_in_stream(batches: Iterator, names, q, k: int, block: int) -> Iterator[tuple]:
+    """(query_id, doc_id, similarity) arrays: the k best of a stream of (doc_id, vector) batches for each row of q."""
+    q = q.astype(np.float64)
+    qn = _norms(q)
+    unit = q / np.maximum(qn, 1e-300)[:, None]
+    ids, sims = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
+    for b in batches:
+        for at in range(0, b.num_rows, block):
+            part = b.slice(at, block)
+            docs, x = _fewer(part.column(0).to_numpy(), _matrix(part.column(1)).astype(np.float64), k)
+            xn = _norms(x)
+            xu = (x / np.maximum(xn, 1e-300)[:, None]).T
+            for s in range(0, len(q), block):
+                sim = unit[s : s + block] @ xu
+                least = sims[s : s + block, -1]
+                if len(docs) > k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(sim, len(docs) - k, axis=1)[:, len(docs) - k])
+                i, j = np.nonzero(sim >= (least - 1e-9)[:, None])
+                for c in range(0, len(i), 1 << 16):
+                    qi, dj = i[c : c + (1 << 16)] + s, j[c : c + (1 << 16)]
+                    _merge(ids, sims, qi, docs[dj], _cosines(q[qi], qn[qi], x[dj], xn[dj]))
+    have = sims > -np.inf
+    out = [np.broadcast_to(names[:, None], have.shape)[have], ids[have], sims[have]]
+    for s in range(0, len(out[0]), 1 << 16):
+        yield tuple(v[s : s + (1 << 16)] for v in out)
+
+
+def nearest(queries: DataFrame, store: DataFrame, k: int, vec: str = "embedding", block: int = 1024) -> DataFrame:
     """Q9: (query_id, doc_id, rank, similarity): the k documents most alike by cosine; ties by doc_id.
 
-    Exact: queries (a stated set, a few thousand at most) are collected and held against the store in blocks of it; a task keeps
-    its k best for each query before the shuffle. Vectors that are null or hold a null are like nothing: they are left out.
+    Exact. Queries are collected and sent to every task (8 bytes a number); a task holds a block of them against a block of
+    its documents and keeps its k best for each query before the shuffle. Products of blocks only leave pairs out, by a bound
+    far wider than their rounding; the rest are computed number by number, so that equal vectors tie. Vectors that are null
+    or hold a null are like nothing: they are left out.
     """
-    import numpy as np
     import pyarrow as pa
 
+    spark = queries.sparkSession
     whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
-    rows = queries.filter(whole).select("query_id", vec).collect()
-    if not rows:
-        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, similarity double, rank int")
-    sent = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+
+    asked = queries.filter(whole).select(F.col("query_id").cast("long"), vec).toArrow().combine_chunks()
+    if not asked.num_rows:
+        return spark.createDataFrame([], "query_id long, doc_id long, similarity double, rank int")
+    sent = spark.sparkContext.broadcast((asked.column(0).to_numpy(), _matrix(asked.column(1).combine_chunks())))
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
-        ids, q = sent.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column(1).to_pylist(), np.float64)
-            docs = b.column(0).to_numpy()
-            sim = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            take = np.lexsort((np.broadcast_to(docs, sim.shape), -sim), axis=1)[:, :k]
-            n = take.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(docs[take].ravel()), pa.array(np.take_along_axis(sim, take, 1).ravel())], schema=schema)
-
-    best = store.filter(whole).select(F.col("doc_id").cast("long"), vec).mapInArrow(run, "query_id long, doc_id long, similarity double")
+        for got in best_in_stream(batches, *sent.value, k, block):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], schema=schema)
+
+    spread = store.filter(whole).select(F.col("doc_id").cast("long"), vec).repartition(spark.sparkContext.defaultParallelism)
+    best = spread.mapInArrow(run, "query_id long, doc_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -60,3 +60,33 @@ def test_fits_in_tasks_equal_a_fit_of_the_whole_cell(spark):
             z = experiment.run_cell(m, "binary", x[tr].astype(float), y[tr], x[te].astype(float), prior, experiment._folds(y[tr], "binary", 5, at), at)
             r = got[m.name, ratio, split]
             assert (r.train_ratio, r.accuracy, r.auroc, r.mcc) == (share, meta.score("accuracy", y[te], z), meta.score("auroc", y[te], z), meta.score("mcc", y[te], z))
+
+
+def test_nearest_holds_blocks_and_ties_by_id():
+    """3,000 queries against a batch of 10,000: their product alone would be 240 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from priorforge.operators import scoring
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((10000, 8)).astype(np.float32)
+    x[5000:] = x[rng.integers(0, 300, 5000)]  # copies, some of them more than k
+    x[0] = 0
+    docs = rng.permutation(10000)
+    q = x[rng.integers(1, 10000, 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["doc_id", "embedding"])
+    tracemalloc.start()
+    got = [np.concatenate(c) for c in zip(*scoring.best_in_stream([batch.slice(0, 6000), batch.slice(6000)], np.arange(3000), q, 5, 256))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(got[0]) == 15000
+    whole = x.astype(float)
+    for k in range(0, 3000, 97):
+        dot, a, b = (sum(u[..., j] * v[..., j] for j in range(8)) for u, v in ((q[k].astype(float), whole), (q[k].astype(float),) * 2, (whole, whole)))
+        c = dot / np.maximum(np.sqrt(a) * np.sqrt(b), 1e-300)
+        order = np.lexsort((docs, -c))[:5]
+        at = np.flatnonzero(got[0] == k)
+        assert sorted(zip(got[1][at], got[2][at])) == sorted(zip(docs[order], c[order]))
