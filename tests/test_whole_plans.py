@@ -90,3 +90,11 @@ def test_nearest_holds_blocks_and_ties_by_id():
         order = np.lexsort((docs, -c))[:5]
         at = np.flatnonzero(got[0] == k)
         assert sorted(zip(got[1][at], got[2][at])) == sorted(zip(docs[order], c[order]))
+
+
+def test_baselines_fit_no_fold_that_no_stack_reads():
+    """4 lassos in one pass each, 3 learners with 5 folds and all rows, and the slow booster on all rows alone."""
+    methods = [*experiment.baselines(), experiment.prior_lasso(), experiment.no_prior_stack()]
+    units, pairs = experiment._units(methods, 5)
+    assert len(units) == 4 + 3 * 6 + 1 and len(pairs) == len(set(pairs))
+    assert [f for m, f in units if m.options] == [experiment.WHOLE]
